@@ -1,24 +1,28 @@
 """Token ids in files: frequency-ranked ids, byte-aligned variable-length coding with separate control bytes.
 
-`write` counts the ids of the whole corpus, ranks them by frequency (ties: the smaller id first), deals documents out in order
-of their key and writes blocks. A block holds its documents' lengths and ranks, each as a run of control bytes (two bits
-a value: its bytes less one) and a run of value bytes. `read` decodes blocks with numpy: a control byte looks up its
-four lengths in a table, their running sum places the values, and the ranks look up the ids. Blocks are rows of a Parquet table, so
-any store that Spark can write holds them and a lost task leaves no half of a file.
+`write` deals documents out in order of their key and writes blocks. A block counts all its ids, ranks them by frequency (ties: the
+smaller id first) and holds the ids in order of rank, its documents' lengths and the ranks of their ids, each as a run of
+control bytes (two bits a value: its bytes less one) and a run of value bytes. As every block has its own ranks, the
+corpus is encoded once and any block can be read alone. `read` decodes with numpy: a control byte looks up its four lengths in
+a table, their running sum places the values, and the ranks look up the ids. Blocks are rows of a Parquet table, so any
+store that Spark can write holds them and a lost task leaves no half of a file.
 
-Texts are cut at blanks and line feeds and each distinct piece is encoded once by the tokenizer library; its normaliser
-and splitter never look across white space, so the ids are those of the whole text.
+Each distinct word is encoded once by the tokenizer library. Texts are cut at blanks and line feeds, which its normaliser
+and splitter never look across, and the pieces into the splitter's own matches. Text that another cut could
+change (it isn't plain Latin script in composed form) goes to the library whole.
 
 Results: a null text counts as empty; a null key comes first; rows with equal keys are ordered by text; an empty table gives an
-empty file set. Ids above 2^32 - 1 aren't possible.
+empty file set.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,15 @@ from pyspark.sql import types as T
 
 from quern.llm.common import col, slices, texts
 
-#: Ids of a block, at which it is closed, and distinct pieces remembered by a worker.
-BLOCK_IDS, MEMORY = 1 << 19, 400_000
-#: First bytes of a block, then documents, ids, and bytes of the two length runs and the two id runs.
-HEAD = struct.Struct("<4sIQIIII")
+#: Ids of a block, at which it is closed; distinct pieces and words remembered by a worker.
+BLOCK_IDS, PIECES, WORDS = 2_000_000, 700_000, 500_000
+#: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
+HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
+#: The splitter's pattern over lower-case text, for plain Latin script.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Whatever isn't printable ASCII, a Latin letter that is its own composed form, or common punctuation.
+OTHER = re.compile("[^\x21-\x7e\u00c0-\u012f\u0132-\u017e\u2010-\u201e\u2026]")
 #: Lengths of the four values of each control byte, from the rule of two bits a value.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(5)], np.uint64)
@@ -59,21 +67,28 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return (whole & MASKS[lengths]).astype(np.uint32)
 
 
-def encode_block(lengths: list[int], ranks: np.ndarray) -> bytes:
-    runs = [*encode_values(np.array(lengths, np.uint32)), *encode_values(ranks)]
-    return HEAD.pack(MAGIC, len(lengths), len(ranks), *map(len, runs)) + b"".join(runs)
+def encode_block(lengths: list[int], ids: np.ndarray) -> bytes:
+    counts = np.bincount(ids)
+    used = np.flatnonzero(counts)
+    order = used[np.argsort(-counts[used], kind="stable")]
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[order] = np.arange(len(order))
+    runs = [*encode_values(order), *encode_values(np.array(lengths, np.uint32)), *encode_values(rank_of[ids])]
+    return HEAD.pack(MAGIC, len(order), len(lengths), len(ids), *map(len, runs)) + b"".join(runs)
 
 
 def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Documents' lengths and all ranks."""
-    magic, docs, ids, *sizes = HEAD.unpack_from(block)
+    """Documents' lengths and all ids."""
+    magic, *counts = HEAD.unpack_from(block)
+    counts, sizes = counts[:3], counts[3:]
     if magic != MAGIC or len(block) != HEAD.size + sum(sizes):
         raise ValueError("not a whole block")
     runs, at = [], HEAD.size
     for size in sizes:
         runs.append(np.frombuffer(block, np.uint8, size, at))
         at += size
-    return decode_values(runs[0], runs[1], docs), decode_values(runs[2], runs[3], ids)
+    ids, lengths, ranks = (decode_values(runs[2 * i], runs[2 * i + 1], n) for i, n in enumerate(counts))
+    return lengths, ids[ranks]
 
 
 class Pieces(dict):
@@ -84,7 +99,10 @@ class Pieces(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        self.words: dict[str, bytes] = {}
+        tokens = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The packed ids of texts."""
@@ -92,50 +110,45 @@ class Pieces(dict):
         new: set[str] = set()
         for pieces in cut:
             new.update(pieces)
-        if len(self) + len(new) > MEMORY:
+        if len(self) + len(new) > PIECES:
             self.clear()
-        fresh = [p for p in new if p not in self]
-        for piece, found in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self[piece] = np.array(found.ids, "<u4").tobytes()
+        self._learn([p for p in new if p not in self])
         return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
 
+    def _learn(self, pieces: list[str]) -> None:
+        words, other, cut = self.words, OTHER.search, WORD.findall
+        for at in range(0, len(pieces), 4000):  # short-lived lists only
+            some = pieces[at : at + 4000]
+            odd = [p for p in some if other(p) or "<|" in p]
+            for piece, found in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
+                self[piece] = np.array(found.ids, "<u4").tobytes()
+            some = [p for p in some if p not in self] if odd else some
+            matches = [cut(p.lower()) for p in some]
+            if len(words) > WORDS:
+                words.clear()
+            fresh = list(set(chain.from_iterable(matches)).difference(words))
+            ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            packed, start = ids.tobytes(), 0
+            for word, stop in zip(fresh, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                words[word] = packed[start:stop]
+                start = stop
+            for piece, found in zip(some, matches, strict=True):
+                self[piece] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def count(df: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
-    """How often each id comes in the corpus, the end ids included: columns id, n."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, total = load(tokenizer), None
-        total = np.zeros(max(pieces.vocabulary, end_id + 1), np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                total[end_id] += part.num_rows
-                found = np.frombuffer(b"".join(pieces.encode(texts(part, text))), "<u4")
-                total += np.bincount(found, minlength=len(total))
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "n"])
-
-    return df.select(col(text)).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
-    """Writes `path`/ranks and `path`/blocks: all documents' ids in ascending order of `key`, each with `end_id` behind it."""
-    spark = df.sparkSession
-    # At most a row for each id of the vocabulary.
-    ranked = sorted(count(df, tokenizer, end_id, text).collect(), key=lambda r: (-r["n"], r["id"]))
-    ids = [r["id"] for r in ranked]
-    spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(max(ids, default=0) + 1, np.uint32)
-    rank_of[ids] = np.arange(len(ids))
+    """Writes blocks to `path`: all documents' ids in ascending order of `key`, each with `end_id` behind it."""
     kind = next(f.dataType for f in df.schema if f.name == key)
     schema = T.StructType.fromDDL("part int, block int, before long, n_ids long").add("keys", T.ArrayType(kind)).add("data", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, end = load(tokenizer), np.array([end_id], "<u4").tobytes()
+        total = 0
         part, block, before = TaskContext.get().partitionId(), 0, 0
         keys: list[pa.Array] = []
         lengths: list[int] = []
@@ -146,30 +159,29 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
             arrays = pa.concat_arrays(keys)
             listed = pa.ListArray.from_arrays(pa.array([0, len(arrays)], pa.int32()), arrays)
             row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([len(found)]), listed]
-            return pa.RecordBatch.from_arrays([*row, pa.array([encode_block(lengths, rank_of[found])])], names=schema.names)
+            return pa.RecordBatch.from_arrays([*row, pa.array([encode_block(lengths, found)])], names=schema.names)
 
         for batch in batches:
-            for piece in slices(batch, 1 << 20):
+            for piece in slices(batch, 4 << 20):
                 keys.append(piece.column(0))
                 for x in pieces.encode(texts(piece, text)):
                     lengths.append(len(x) // 4 + 1)
+                    total += lengths[-1]
                     packed += (x, end)
-                if sum(lengths) >= BLOCK_IDS:
+                if total >= BLOCK_IDS:
                     yield close()
-                    before, block = before + sum(lengths), block + 1
+                    before, block, total = before + total, block + 1, 0
                     keys, lengths, packed = [], [], []
         if lengths:
             yield close()
 
     ordered = df.select(col(key), col(text)).repartitionByRange(col(key)).sortWithinPartitions(col(key), col(text))
-    ordered.mapInArrow(run, schema).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, schema).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """A row for each document of the files: key, start (ids of all documents before it) and its packed ids with the end id."""
-    ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()  # one row for each id of the vocabulary
-    id_of = np.array([r["id"] for r in ranks], "<u4")
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(path)
     # A row for each task that wrote: the driver has kept more than that of each already.
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     base, so_far = {}, 0
@@ -183,8 +195,8 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i] for n in ("part", "before", "data")}
-                lengths, ranks = decode_block(row["data"].as_py())
-                ids = id_of[ranks].tobytes()
+                lengths, found = decode_block(row["data"].as_py())
+                ids = found.tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 keys = batch.column("keys").slice(i, 1).flatten()
