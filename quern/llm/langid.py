@@ -98,8 +98,10 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     over all rows. What reaches the driver is PROFILE n-grams a language.
     """
     rows = df.where(learn & col(lang).isNotNull()).select(col(key).alias("key"), col(text).alias("text"), col(lang).alias("lang"))
-    rates = rows.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count("*")).alias("rate"))
-    drawn = rows.join(rates, "lang").where(hex_unit(F.col("key"), "langid") < F.col("rate")).select("lang", "text")
+    # A row a language, as in the profiles themselves. A join with them would move whole texts.
+    rates = {r["lang"]: SAMPLE / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rate = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in rates.items()), F.lit(0.0))
+    drawn = rows.where(hex_unit(F.col("key"), "langid") < rate).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +114,7 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "gram", "n"])
 
     counted = drawn.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # A heap of PROFILE a language in each task, then one of those: no language's n-grams are sorted in one place.
+    # Spark keeps PROFILE rows a language in each task before it brings them together.
     place = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= PROFILE)
     out: dict[str, list[int]] = {}
