@@ -7,9 +7,9 @@ corpus is encoded once and any block can be read alone. `read` decodes with nump
 a table, their running sum places the values, and the ranks look up the ids. Blocks are rows of a Parquet table, so any
 store that Spark can write holds them and a lost task leaves no half of a file.
 
-Each distinct word is encoded once by the tokenizer library. Texts are cut at blanks and line feeds, which its normaliser
-and splitter never look across, and the pieces into the splitter's own matches. Text that another cut could
-change (it isn't plain Latin script in composed form) goes to the library whole.
+Each distinct word, a match of the tokenizer's own splitter, is encoded once by its library. Where a text isn't plain Latin
+script in composed form it is cut at blanks and line feeds only, which the library's normaliser and splitter never look
+across, and such a piece goes to the library as it is.
 
 Results: a null text counts as empty; a null key comes first; rows with equal keys are ordered by text; an empty table gives an
 empty file set.
@@ -22,7 +22,6 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +32,17 @@ from pyspark.sql import types as T
 
 from quern.llm.common import col, slices, texts
 
-#: Ids of a block, at which it is closed; distinct pieces and words remembered by a worker.
-BLOCK_IDS, PIECES, WORDS = 2_000_000, 700_000, 500_000
+#: Ids of a block, at which it is closed; distinct words remembered by a worker.
+BLOCK_IDS, WORDS = 2_000_000, 700_000
 #: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
 HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
 #: The splitter's pattern over lower-case text, for plain Latin script.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Whatever isn't printable ASCII, a Latin letter that is its own composed form, or common punctuation.
-OTHER = re.compile("[^\x21-\x7e\u00c0-\u012f\u0132-\u017e\u2010-\u201e\u2026]")
+WORD = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
+#: Whatever isn't ASCII text, a Latin letter that is its own composed form, or common punctuation.
+OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u012f\u0132-\u017e\u2010-\u201e\u2026]")
+#: Comes before a piece that the library gets as it is.
+ODD = "\0"
 #: Lengths of the four values of each control byte, from the rule of two bits a value.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(5)], np.uint64)
@@ -91,54 +92,58 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, ids[ranks]
 
 
-class Pieces(dict):
-    """Packed ids of pieces without blanks."""
+class Words(dict):
+    """Packed ids of words; of pieces that only the library may cut under ODD and the piece."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(tokens.values()) + 1, bool)  # ids that end a word
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
+    def cut(self, text: str) -> list[str]:
+        """The words of a text in order."""
+        if not OTHER.search(text) and "<|" not in text:
+            return WORD.findall(text.lower())
+        out: list[str] = []
+        for piece in text.replace("\n", " ").split(" "):
+            if OTHER.search(piece) or "<|" in piece:
+                out.append(ODD + piece)
+            else:
+                out += WORD.findall(piece.lower())
+        return out
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """The packed ids of texts."""
-        cut = [t.replace("\n", " ").split(" ") for t in batch]
+        cut = [self.cut(t) for t in batch]
         new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
-        if len(self) + len(new) > PIECES:
+        for words in cut:
+            new.update(words)
+        if len(self) + len(new) > WORDS:
             self.clear()
-        self._learn([p for p in new if p not in self])
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
-
-    def _learn(self, pieces: list[str]) -> None:
-        words, other, cut = self.words, OTHER.search, WORD.findall
-        for at in range(0, len(pieces), 4000):  # short-lived lists only
-            some = pieces[at : at + 4000]
-            odd = [p for p in some if other(p) or "<|" in p]
-            for piece, found in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
-                self[piece] = np.array(found.ids, "<u4").tobytes()
-            some = [p for p in some if p not in self] if odd else some
-            matches = [cut(p.lower()) for p in some]
-            if len(words) > WORDS:
-                words.clear()
-            fresh = list(set(chain.from_iterable(matches)).difference(words))
-            ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-            packed, start = ids.tobytes(), 0
-            for word, stop in zip(fresh, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
-                words[word] = packed[start:stop]
-                start = stop
-            for piece, found in zip(some, matches, strict=True):
-                self[piece] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        fresh = list(new.difference(self))
+        for at in range(0, len(fresh), 2000):  # short-lived lists only
+            self._learn(fresh[at : at + 2000])
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
+
+    def _learn(self, words: list[str]) -> None:
+        odd = [w for w in words if w[0] == ODD]
+        for word, found in zip(odd, self.library.encode_batch([w[1:] for w in odd], add_special_tokens=False), strict=True):
+            self[word] = np.array(found.ids, "<u4").tobytes()
+        words = [w for w in words if w[0] != ODD] if odd else words
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        packed, start = ids.tobytes(), 0
+        for word, stop in zip(words, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+            self[word] = packed[start:stop]
+            start = stop
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Pieces:
-    return Pieces(path)
+def load(path: str) -> Words:
+    return Words(path)
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
@@ -147,7 +152,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
     schema = T.StructType.fromDDL("part int, block int, before long, n_ids long").add("keys", T.ArrayType(kind)).add("data", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end = load(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = load(tokenizer), np.array([end_id], "<u4").tobytes()
         total = 0
         part, block, before = TaskContext.get().partitionId(), 0, 0
         keys: list[pa.Array] = []
@@ -164,7 +169,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
         for batch in batches:
             for piece in slices(batch, 4 << 20):
                 keys.append(piece.column(0))
-                for x in pieces.encode(texts(piece, text)):
+                for x in words.encode(texts(piece, text)):
                     lengths.append(len(x) // 4 + 1)
                     total += lengths[-1]
                     packed += (x, end)
