@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and, where SQL can express them, ORACLE.
-MODULES = ("q_exact_dedup", "q_media", "q_langid", "q_bpe", "q_token_files", "q_toxicity", "q_mixing", "q_minhash")
+MODULES = ("q_chat", "q_warc", "q_exact_dedup", "q_media", "q_langid", "q_bpe", "q_token_files", "q_toxicity", "q_mixing", "q_minhash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
