@@ -12,7 +12,7 @@ comparing hashes; they are never sorted.
 
 Results: size counts runs of anything but the space and the bytes 9 to 13; a null text has 0. A null source is a source, the last.
 A null key is hashed as an empty text; rows with equal keys share a hash and are taken or left together. Documents of a
-source without words are taken 0 words. Columns of the frame are kept, clashing ones replaced. An empty frame gives no rows.
+source without words are taken 0 words. Other columns aren't looked at, whatever their names. An empty frame gives no rows.
 """
 
 from __future__ import annotations
@@ -59,32 +59,53 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return seen.select("source", "source_size", target.alias("target"))
 
 
-def mix(
+def limits(
     df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST
-) -> DataFrame:
-    """A row for each row of `df`: its key and source with size, source_size, target, times and taken.
+) -> tuple[DataFrame, DataFrame]:
+    """The narrow table key, source, size, place of `df`, and a row a source: of, source_size, target, whole, limit.
 
-    `times` is how often the document comes in the mix, `taken` that many times its words.
+    A document comes `whole` times in the mix, and once more if its place is below `limit`.
     """
     slim = df.select(col(key).alias("key"), col(source).alias("source"), words(col(text)).alias("size"), place(col(key)).alias("place"))
     slim = materialise(slim, "mix-sizes")  # texts are read once; what follows works on four narrow columns
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(most))
-    state = goal.withColumn("whole", whole.cast("long")).select(
-        "source", "source_size", "target", "whole", F.when(F.col("whole") < most, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0).alias("rest"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below")
-    )
+    rest = F.when(F.col("whole") < most, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)
+    zero = F.lit(0).cast("long")
+    state = goal.withColumn("whole", whole.cast("long"))
+    state = state.select("source", "source_size", "target", "whole", rest.alias("rest"), zero.alias("prefix"), zero.alias("below"))
     for k in range(1, LEVELS + 1):
         state = materialise(_refine(slim, state, BITS * (LEVELS - k)), f"mix-level{k}")
     # prefix is now a whole hash, below the words before it, and bucket the words at it.
     nearer = 2 * (F.col("rest") - F.col("below")) > F.col("bucket")
-    limits = state.withColumn("limit", F.col("prefix") + F.when((F.col("rest") > 0) & nearer, 1).otherwise(0))
-    limits = limits.select(F.col("source").alias("of"), "source_size", "target", "whole", "limit")
-    times = F.col("whole") + F.when(F.col("place") < F.col("limit"), 1).otherwise(0)
-    out = slim.join(limits, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", times)
+    limit = F.col("prefix") + F.when((F.col("rest") > 0) & nearer, 1).otherwise(0)
+    return slim, state.select(F.col("source").alias("of"), "source_size", "target", "whole", limit.alias("limit"))
+
+
+def _times() -> Column:
+    return F.col("whole") + F.when(F.col("place") < F.col("limit"), 1).otherwise(0)
+
+
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """A row for each row of `df`: its key and source with size, source_size, target, times and taken.
+
+    `times` is how often the document comes in the mix, `taken` that many times its words. Options are those of `limits`.
+    """
+    slim, found = limits(df, key, source, **options)
+    out = slim.join(found, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", _times())
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of `df` as often as it is taken."""
+    _, found = limits(df, key, source, **options)
+    row = df.select(F.struct(*(col(c) for c in df.columns)).alias("row"), col(source).alias("source"), place(col(key)).alias("place"))
+    taken = row.join(found, F.col("source").eqNullSafe(F.col("of"))).where(_times() > 0)
+    again = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), _times())).alias("time"))
+    return again.select("row.*")
+
+
 def _refine(slim: DataFrame, state: DataFrame, shift: int) -> DataFrame:
     """`state` one level down: in each source's bucket, the sub-bucket where the running sum of words passes the rest."""
     inside = (F.shiftright("place", shift + BITS) == F.col("prefix")) & F.col("source").eqNullSafe(F.col("of"))
