@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from quern.llm.common import col, slices, texts
 
 #: Ids of a block, at which it is closed; distinct words remembered by a worker.
-BLOCK_IDS, WORDS = 2_000_000, 700_000
+BLOCK_IDS, WORDS = 2_000_000, 350_000
 #: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
 HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
@@ -167,7 +167,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
             return pa.RecordBatch.from_arrays([*row, pa.array([encode_block(lengths, found)])], names=schema.names)
 
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
+            for piece in slices(batch, 1 << 20):
                 keys.append(piece.column(0))
                 for x in words.encode(texts(piece, text)):
                     lengths.append(len(x) // 4 + 1)
