@@ -10,10 +10,11 @@ is farther apart with a probability below MISS.
 Buckets are worked through in two rounds, so that a group of near copies costs a star, not all its pairs:
 1. each node of a bucket is paired with the bucket's least node; pairs within the distance are confirmed on the full
    shingle sets; confirmed links make components;
-2. in the buckets that still hold several components, the pairs across components are confirmed as well. Large
-   buckets are dealt out as pairs of blocks.
-After that every pair of a bucket is either in one component or was tested. Texts are fetched only for nodes of candidate
-pairs and meet in a grid of cells, so that a node is sent to as many cells as hold pairs of it.
+2. in the buckets that still hold several components, near pairs across components are confirmed as well, in the task that
+   holds the bucket: components are joined as it goes, and only the links that joined some leave it. Large buckets are
+   dealt out as pairs of blocks.
+After that every near pair of a bucket is either in one component or was tested. Texts are fetched only for nodes that have a
+partner. Those of the stars meet in a grid of cells, so that a node is sent to as many cells as hold pairs of it.
 
 Results: a null text counts as empty; a document without words has no shingle and is linked with nothing; one with fewer words than
 a shingle has one shingle, its whole sequence. The component's name is its least key that isn't null. Rows with equal
@@ -37,7 +38,7 @@ from quern.llm.common import append_columns, col, materialise, texts
 #: Words of a shingle, positions of a chunk, most probable miss of a pair at the threshold.
 WORDS, CHUNK, MISS = 5, 5, 1e-6
 #: Nodes of a block of a large bucket, nodes of a side of a cell.
-BLOCK, SIDE = 1500, 1500
+BLOCK, SIDE = 1000, 1500
 #: Distinct words remembered by a worker.
 MEMORY = 300_000
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -170,9 +171,73 @@ def near(pairs: DataFrame, nodes: DataFrame, chunks: int, far: int, percent: int
     return both.mapInArrow(run, "x long, y long")
 
 
-def across(buckets: DataFrame, nodes: DataFrame, chunks: int, far: int, percent: int) -> DataFrame:
-    """key, node, comp -> the near pairs (x, y) of a bucket's nodes in different components, each pair once."""
-    k = chunks * CHUNK
+class Group:
+    """The nodes of a bucket, or of a pair of its blocks, by their number of shingles."""
+
+    def __init__(self, rows: pa.Table, chunks: int, far: int, percent: int):
+        get = lambda c: rows.column(c).to_numpy()
+        self.chunks, self.far = chunks, far
+        self.key, self.mixed = get("key")[0], get("i")[0] != get("j")[0]
+        order = np.argsort(get("n"), kind="stable")
+        self.order, self.n = order, get("n")[order]
+        self.mine, self.node, self.comp = (get(c)[order] for c in ("mine", "node", "comp"))
+        self.sig = stacked(rows.column("sig").combine_chunks(), chunks * CHUNK)[order]
+        self.top = np.searchsorted(self.n, self.n * 100 // percent, side="right")  # partners are at most so large
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each node's later near ones in other components, as far as this is the first bucket that the two share."""
+        for at in range(len(self.node)):
+            other = np.arange(at + 1, self.top[at])
+            fit = self.comp[other] != self.comp[at]
+            if self.mixed:
+                fit &= self.mine[other] != self.mine[at]
+            other = other[fit]
+            if not len(other):
+                continue
+            differ = self.sig[other] != self.sig[at]
+            close = differ.sum(1) <= self.far
+            other, differ = other[close], differ[close]
+            if not len(other):
+                continue
+            # The first bucket of two: the first chunk with one error at most, left out where it is.
+            wrong = differ.reshape(len(other), self.chunks, CHUNK)
+            errors = wrong.sum(2)
+            chunk, rows = (errors <= 1).argmax(1), np.arange(len(other))
+            gap = np.where(errors[rows, chunk] == 1, wrong[rows, chunk].argmax(1), 0)
+            other = other[bucket_keys(self.sig[at : at + 1], self.chunks)[0][chunk * CHUNK + gap] == self.key]
+            if len(other):
+                yield at, other
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with the same key, i and j; rows come in that order."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j")], 1)
+        cuts = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if held and tuple(name[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(name[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+GROUP = "key long, i int, j int, mine int, node long, comp long, n long, sig binary"
+
+
+def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, chunks: int, far: int, percent: int, words: int) -> DataFrame:
+    """key, node, comp -> links (x, y) that join components within a bucket.
+
+    Near pairs aren't written out: a first pass keeps the nodes that have a partner in their bucket, these get their
+    texts, and a second pass confirms the pairs where they meet. A task joins components as it goes and skips what is joined
+    already, so what leaves it is a forest.
+    """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n_bucket"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     sizes = sizes.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("n_bucket") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -181,61 +246,61 @@ def across(buckets: DataFrame, nodes: DataFrame, chunks: int, far: int, percent:
     rows = rows.join(nodes.select("node", "n", "sig"), "node")
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     rows = rows.select("key", low.alias("i"), high.alias("j"), "mine", "node", "comp", "n", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            name = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], 1)
-            cuts = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                if held and any(held[0].column(c)[0].as_py() != part.column(c)[0].as_py() for c in range(3)):
-                    yield from pairs_of(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from pairs_of(pa.Table.from_batches(held))
-
-    def pairs_of(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        get = lambda c: group.column(c).to_numpy()
-        key, i, j = (get(c)[0] for c in ("key", "i", "j"))
-        mine, node, comp, n = get("mine"), get("node"), get("comp"), get("n")
-        sig = stacked(group.column("sig").combine_chunks(), k)
-        order = np.argsort(n, kind="stable")
-        mine, node, comp, n, sig = mine[order], node[order], comp[order], n[order], sig[order]
-        top = np.searchsorted(n, n * 100 // percent, side="right")  # partners are at most so large
-        xs, ys = [], []
-        for at in range(len(node)):
-            to = int(top[at])
-            if to <= at + 1:
-                continue
-            other = np.arange(at + 1, to)
-            fit = comp[other] != comp[at]
-            if i != j:
-                fit &= mine[other] != mine[at]
-            other = other[fit]
-            if not len(other):
-                continue
-            differ = sig[other] != sig[at]
-            close = differ.sum(1) <= far
-            other, differ = other[close], differ[close]
-            if not len(other):
-                continue
-            # The pair belongs to the first bucket that both are in: the first gap of the first chunk with one error at most.
-            wrong = differ.reshape(len(other), chunks, CHUNK)
-            errors = wrong.sum(2)
-            chunk = (errors <= 1).argmax(1)
-            rows_ = np.arange(len(other))
-            gap = np.where(errors[rows_, chunk] == 1, wrong[rows_, chunk].argmax(1), 0)
-            first = bucket_keys(sig[at : at + 1], chunks)[0][chunk * CHUNK + gap] == key
-            xs.append(np.full(int(first.sum()), node[at]))
-            ys.append(node[other[first]])
-        if xs:
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
-
-    return rows.mapInArrow(run, "x long, y long")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches):
+            group = Group(table, chunks, far, percent)
+            used = np.zeros(len(group.node), bool)
+            for at, partners in group.partners():
+                used[at] = True
+                used[partners] = True
+            if used.any():
+                yield from table.take(pa.array(np.sort(group.order[used]))).to_batches()
+
+    some = materialise(dealt.mapInArrow(paired, GROUP), "partners")
+    asked = some.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    found = asked.join(docs, F.col("rep").eqNullSafe(F.col("key"))).select(F.col("node").alias("of"), "text")
+    full = some.join(found, F.col("node") == F.col("of")).drop("of").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches):
+            sets: dict[int, np.ndarray] = {}
+            rows: dict[int, int] = {}
+            for at, (node, t) in enumerate(zip(table.column("node").to_pylist(), table.column("text").to_pylist(), strict=True)):
+                if node not in sets and node_of(s := shingles(t or "", words)) == node:  # rows may share a key and have other texts
+                    sets[node], rows[node] = s, at
+            group = Group(table.take(pa.array(sorted(rows.values()))), chunks, far, percent)
+            above: dict[int, int] = {}
+
+            def root(c: int, above: dict[int, int] = above) -> int:
+                while (up := above.get(c, c)) != c:
+                    above[c] = above.get(up, up)
+                    c = up
+                return c
+
+            x, y = [], []
+            for at, partners in group.partners():
+                for p in partners.tolist():
+                    a, b = root(int(group.comp[at])), root(int(group.comp[p]))
+                    if a != b and alike(sets[int(group.node[at])], sets[int(group.node[p])], percent):
+                        above[max(a, b)] = min(a, b)
+                        x.append(int(group.node[at]))
+                        y.append(int(group.node[p]))
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    return full.mapInArrow(linked, "x long, y long")
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    where = np.searchsorted(b, a)
+    where[where == len(b)] = 0
+    same = int((b[where] == a).sum())
+    return 100 * same >= percent * (len(a) + len(b) - same)
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -256,11 +321,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
         x, y = left.column("x").to_numpy(), left.column("y").to_numpy()
         keep = np.zeros(len(x), bool)
         for at, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-            a, b = sets[p], sets[q]
-            where = np.searchsorted(b, a)
-            where[where == len(b)] = 0
-            same = int((b[where] == a).sum())
-            keep[at] = 100 * same >= percent * (len(a) + len(b) - same)
+            keep[at] = alike(sets[p], sets[q], percent)
         return pa.table({"x": x[keep], "y": y[keep]})
 
     return placed.groupBy("i", "j").cogroup(found.groupBy("of_i", "of_j")).applyInArrow(run, "x long, y long")
@@ -305,9 +366,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     comps = materialise(components(links), "components")
 
     named = shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = across(named, nodes, chunks, far, percent).join(tested, ["x", "y"], "left_anti")
-    rest = materialise(rest, "pairs")
-    more = materialise(confirmed(rest, nodes, docs, percent, words), "more-links")
+    more = materialise(across(named, nodes, docs, chunks, far, percent, words), "more-links")
     if not more.isEmpty():
         comps = materialise(components(links.union(more)), "components")
 
