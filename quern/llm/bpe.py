@@ -25,8 +25,8 @@ from quern.llm.common import append_columns, texts
 
 #: Bytes up to which a part is merged directly; longer ones are halved.
 LEAF_BYTES = 5
-#: Bytes up to which the encoding of a match, a half or a window is remembered by a worker, and how many of each are.
-KNOWN_BYTES, MEMORY = 32, 400_000
+#: Bytes up to which an encoding is remembered by a worker; matches, and halves, windows or token pairs that are.
+KNOWN_BYTES, MATCHES, PARTS = 32, 300_000, 100_000
 #: Tokens decoded in one leaf of the tree.
 LEAF_TOKENS = 4096
 
@@ -93,7 +93,7 @@ class Bpe:
     def stable(self, left: int, right: int) -> bool:
         """Whether two adjacent tokens, encoded together, give themselves back."""
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= MEMORY:
+            if len(self.pairs) >= PARTS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.leaf(self.vocab[left] + self.vocab[right]) == [left, right]
         return known
@@ -116,7 +116,7 @@ class Bpe:
 
     def known(self, data: bytes, ids: list[int]) -> list[int]:
         if len(data) <= KNOWN_BYTES:
-            if len(self.parts) >= MEMORY:
+            if len(self.parts) >= PARTS:
                 self.parts.clear()
             self.parts[data] = ids
         return ids
@@ -145,7 +145,7 @@ class Bpe:
 
 
 class _Cache(dict):
-    """Packed ids by match, at most MEMORY of them."""
+    """Packed ids by match, at most MATCHES of them."""
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
@@ -154,7 +154,7 @@ class _Cache(dict):
         data = match.encode()
         packed = b"".join(map(self.bpe.packed.__getitem__, self.bpe.encode_match(data)))
         if len(data) <= KNOWN_BYTES:
-            if len(self) >= MEMORY:
+            if len(self) >= MATCHES:
                 self.clear()
             self[match] = packed
         return packed
