@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import SLICE_BYTES, col, slices
 
 #: Bytes of strings and nodes that a task's tries may hold before they spill or, before the shuffle, are passed on.
-BUDGET = 96 << 20
+BUDGET = 48 << 20
 NODE_BYTES = 300
 #: Subtrees at the top, by length; rows of a returned batch.
 PLACES, ROWS = 64, 2000
