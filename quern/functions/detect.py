@@ -28,7 +28,14 @@ def guesses(text: Column) -> Column:
     `sub` is a date's format or a unit's category. An email address and a text of four numbers that is no IP address end
     the search.
     """
-    return let(trim(text), lambda s: let(F.struct(s.alias("s"), F.lower(s).alias("l"), dates.detect(s).alias("d")), lambda x: _guesses(x["s"], x["l"], x["d"])))
+
+    def parts(s: Column) -> Column:
+        return F.struct(
+            s.alias("s"), F.lower(s).alias("l"), dates.detect(s).alias("d"), currency.parse(s)["format"].alias("money"), units.parse(s)["category"].alias("quantity"),
+            units.parse_weight(s).isNotNull().alias("weight"), units.parse_pack(s).isNotNull().alias("pack"), identifiers.detect(s).alias("ids"),
+        )
+
+    return let(trim(text), lambda s: let(parts(s), _guesses))
 
 
 def _guess(when: Column, kind: str | Column, confidence: float | Column, sub: Column | None = None) -> Column:
@@ -37,7 +44,8 @@ def _guess(when: Column, kind: str | Column, confidence: float | Column, sub: Co
     return F.when(F.coalesce(when, F.lit(False)), made)
 
 
-def _guesses(s: Column, low: Column, date: Column) -> Column:
+def _guesses(x: Column) -> Column:
+    s, low, date, money = x["s"], x["l"], x["d"], x["money"]
     flag = s.isin("0", "1")
     fits = F.coalesce(integer(s).between(*map(whole, I64)), F.lit(False))
     number = s.rlike(FLOAT) & ~fits & (F.abs(s.try_cast("double")) < float("inf"))
@@ -52,10 +60,8 @@ def _guesses(s: Column, low: Column, date: Column) -> Column:
         _guess(flag, "Boolean", 0.6),
     )
     with_email = F.array(_guess(email, "Email", 0.9))
-    money = currency.parse(s)["format"]
-    quantity, weight, pack = units.parse(s), units.parse_weight(s), units.parse_pack(s)
-    category = F.when(quantity.isNotNull(), quantity["category"]).when(weight.isNotNull() | pack.isNotNull(), "Weight")
-    sure = F.when(quantity.isNull() & weight.isNull(), 0.8).otherwise(0.85)
+    category = F.when(x["quantity"].isNotNull(), x["quantity"]).when(x["weight"] | x["pack"], "Weight")
+    sure = F.when(x["quantity"].isNull() & ~x["weight"], 0.8).otherwise(0.85)
     bracket = F.replace(F.regexp_extract(s, r"^\(([\s\S]*)\)$", 1), F.lit(","), F.lit(""))
     numbers = s.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")
     octets = F.forall(F.split(s, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)") <= 255, F.lit(False)))
@@ -71,14 +77,13 @@ def _guesses(s: Column, low: Column, date: Column) -> Column:
     )
     code = F.upper(F.regexp_replace(s, r"\p{IsWhite_Space}", ""))
     variety = F.size(F.array_distinct(F.split(F.substring(code, 5, 40), ""))) > 2
-    ids = F.filter(identifiers.detect(s), lambda g: g["kind"].isin(*KIND_OF))
+    ids = F.filter(x["ids"], lambda g: g["kind"].isin(*KIND_OF))
     third = F.array(
         _guess(s.rlike(r"^[0-9A-Fa-f:]*$") & s.rlike(":[^:]*:"), "IpAddress", 0.8),
         _guess(s.rlike(r"^(\{[\s\S]*\}|\[[\s\S]*\])$") & F.try_parse_json(s).isNotNull(), "Json", 0.95),
         _guess(code.rlike("^[A-Z]{2}(?!0[01])[0-9]{2}[A-Z0-9]{11,30}$") & variety, "Iban", 0.8),
     )
     named = F.transform(ids, lambda g: F.struct(lookup(KIND_OF, g["kind"]).alias("kind"), F.lit(None).cast("string").alias("sub"), g["confidence"].alias("confidence")))
-    # Rules that end the search come before the dear ones, which are then not computed.
     rest = F.when(numbers & ~octets, second).otherwise(F.concat(second, third, named))
     every = F.when(email, F.concat(first, with_email)).otherwise(F.concat(first, rest))
     return let(F.filter(every, lambda g: g.isNotNull()), lambda found: _ranked(s, found, ~email & ~(numbers & ~octets)))

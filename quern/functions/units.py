@@ -71,6 +71,10 @@ TAIL = r"^([\s\S]*[0-9.])\s*([^0-9.]+)$"
 
 def numeric(s: Column) -> Column:
     """The number of an amount's text: plain, European, dots only, or with checked separators."""
+    return X.let(s, _numeric)
+
+
+def _numeric(s: Column) -> Column:
     decimal = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     bare = F.translate(s, ",'_", "")
     grouped = ~X.has(s, ",") | s.rlike(r"^-*[^.,]*(,[0-9]{3})*(\.[^,]*)?$")
@@ -89,7 +93,8 @@ def standard_unit(code: Column) -> Column:
 
 
 def _found(amount: Column, unit: Column) -> Column:
-    return F.when(amount.isNotNull() & unit.isNotNull(), F.struct(amount.alias("amount"), unit.alias("unit"), lookup(CATEGORY, unit).alias("category")))
+    made = lambda x: F.when(x["a"].isNotNull() & x["u"].isNotNull(), F.struct(x["a"].alias("amount"), x["u"].alias("unit"), lookup(CATEGORY, x["u"]).alias("category")))
+    return X.let(F.struct(amount.alias("a"), unit.alias("u")), made)
 
 
 def parse(text: Column) -> Column:
@@ -159,28 +164,35 @@ PACK_WORDS = {"each": 1, "ea": 1, "dozen": 12, "dz": 12, "gross": 144, "hundred"
 def parse_pack(text: Column) -> Column:
     """STRUCT<total_units, packs, per_pack>, NULL if the text isn't a pack size."""
 
-    def one(s: Column) -> Column:
+    def parts(s: Column) -> Column:
         # The first x parts a multiplier from a count or a quantity; `0x` before a hexadecimal digit is a number.
-        times = _count(F.when(~s.rlike("^0x[0-9a-f]"), X.group(s, r"^([^x]*)x([\s\S]*)$", 1)))
         rest = X.group(s, r"^([^x]*)x([\s\S]*)$", 2)
-        number = _count(F.replace(F.replace(rest, F.lit("-count"), F.lit("")), F.lit("count"), F.lit("")))
-        each = parse(rest)
+        single = F.coalesce(
+            _count(X.group(s, r"^(?:case|pack|box|carton|bag) of ([\s\S]*)$", 1)),
+            _count(X.group(s, r"^([\s\S]*?)-?ct$", 1)),
+            _count(F.when(s.rlike("[- ]pack"), F.replace(F.replace(s, F.lit("-pack"), F.lit("")), F.lit(" pack"), F.lit("")))),
+            _count(X.group(s, r"^pk[/ ]([\s\S]*)$", 1)),
+        )
+        return F.struct(
+            lookup(PACK_WORDS, s).cast("bigint").alias("word"),
+            _count(F.when(~s.rlike("^0x[0-9a-f]"), X.group(s, r"^([^x]*)x([\s\S]*)$", 1))).alias("times"),
+            _count(F.replace(F.replace(rest, F.lit("-count"), F.lit("")), F.lit("count"), F.lit(""))).alias("number"),
+            parse(rest).alias("each"),
+            single.alias("single"),
+        )
+
+    def one(x: Column) -> Column:
         none = F.lit(None)
         size = lambda total, packs=none, per=none: F.struct(total.cast("bigint").alias("total_units"), packs.cast("bigint").alias("packs"), per.cast("struct<amount:double,unit:string,category:string>").alias("per_pack"))
-        of = _count(X.group(s, r"^(?:case|pack|box|carton|bag) of ([\s\S]*)$", 1))
-        ct = _count(X.group(s, r"^([\s\S]*?)-?ct$", 1))
-        pack = _count(F.when(s.rlike("[- ]pack"), F.replace(F.replace(s, F.lit("-pack"), F.lit("")), F.lit(" pack"), F.lit(""))))
-        pk = _count(X.group(s, r"^pk[/ ]([\s\S]*)$", 1))
-        whole = F.when(each["amount"] >= 0, F.floor(each["amount"])).otherwise(0)
-        single = F.coalesce(lookup(PACK_WORDS, s).cast("bigint"), of, ct, pack, pk)
+        whole = F.when(x["each"]["amount"] >= 0, F.floor(x["each"]["amount"])).otherwise(0)
         return (
-            F.when(lookup(PACK_WORDS, s).isNotNull(), size(single))
-            .when(times.isNotNull() & number.isNotNull(), size(times * number, times))
-            .when(times.isNotNull() & each.isNotNull(), size(times * whole, times, each))
-            .when(single.isNotNull(), size(single))
+            F.when(x["word"].isNotNull(), size(x["word"]))
+            .when(x["times"].isNotNull() & x["number"].isNotNull(), size(x["times"] * x["number"], x["times"]))
+            .when(x["times"].isNotNull() & x["each"].isNotNull(), size(x["times"] * whole, x["times"], x["each"]))
+            .when(x["single"].isNotNull(), size(x["single"]))
         )
 
-    return X.let(F.lower(X.trim(text)), one)
+    return X.let(F.lower(X.trim(text)), lambda s: X.let(parts(s), one))
 
 
 def parse_weight(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,11 +104,11 @@ def walk(value: Column, path: str | tuple[Segment, ...]) -> Column:
     segments = parse_path(path) if isinstance(path, str) else path
     here = F.struct(value.alias("value"), F.when(value.isNull(), NOT_FOUND).otherwise(OK).alias("status"))
     for segment in segments:
-        here = let(here, lambda x, s=segment: _step(x, s))
+        here = let(here, partial(_step, segment))
     return here
 
 
-def _step(x: Column, segment: Segment) -> Column:
+def _step(segment: Segment, x: Column) -> Column:
     def inside(v: Column) -> Column:
         s = F.schema_of_variant(v)
         found = F.try_variant_get(v, quoted(segment), "variant")
