@@ -3,8 +3,8 @@
 `write` deals documents out in order of their key and writes blocks. A block counts all its ids, ranks them by frequency (ties: the
 smaller id first) and holds the ids in order of rank, its documents' lengths and the ranks of their ids, each as a run of
 control bytes (two bits a value: its bytes less one) and a run of value bytes. As every block has its own ranks, the
-corpus is encoded once and any block can be read alone. `read` decodes with numpy: a control byte looks up its four lengths in
-a table, their running sum places the values, and the ranks look up the ids. Blocks are rows of a Parquet table, so any
+corpus is encoded once and any block can be read alone. `read` decodes with numpy: a control byte looks up in a table which
+bytes of its four values were kept, the value bytes fill these, and the ranks look up the ids. Blocks are rows of a Parquet table, so any
 store that Spark can write holds them and a lost task leaves no half of a file.
 
 Each distinct word, a match of the tokenizer's own splitter, is encoded once by its library. Where a text isn't plain Latin
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from quern.llm.common import col, slices, texts
 
 #: Ids of a block, at which it is closed; distinct words remembered by a worker.
-BLOCK_IDS, WORDS = 2_000_000, 350_000
+BLOCK_IDS, WORDS = 2_000_000, 500_000
 #: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
 HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
@@ -43,9 +43,8 @@ WORD = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
 OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u012f\u0132-\u017e\u2010-\u201e\u2026]")
 #: Comes before a piece that the library gets as it is.
 ODD = "\0"
-#: Lengths of the four values of each control byte, from the rule of two bits a value.
-LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
-MASKS = np.array([(1 << 8 * n) - 1 for n in range(5)], np.uint64)
+#: Which of the sixteen bytes of its four values each control byte keeps, from the rule of two bits a value.
+KEPT = np.array([[k <= c >> 2 * i & 3 for i in range(4) for k in range(4)] for c in range(256)], bool)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -58,14 +57,12 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    lengths = LENGTHS[control].ravel()[:n]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    if n and ends[-1] != len(data):
-        raise ValueError(f"{len(data)} value bytes where the control bytes tell of {ends[-1]}")
-    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint64)
-    at = ends - lengths
-    whole = wide[at] | wide[at + 1] << np.uint64(8) | wide[at + 2] << np.uint64(16) | wide[at + 3] << np.uint64(24)
-    return (whole & MASKS[lengths]).astype(np.uint32)
+    kept = KEPT[control].ravel()[: 4 * n]
+    if np.count_nonzero(kept) != len(data):
+        raise ValueError(f"{len(data)} value bytes where the control bytes tell of {np.count_nonzero(kept)}")
+    out = np.zeros(4 * n, np.uint8)
+    out[kept] = data
+    return out.view("<u4")
 
 
 def encode_block(lengths: list[int], ids: np.ndarray) -> bytes:
@@ -100,6 +97,7 @@ class Words(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
+        self.before: dict[str, bytes] = {}  # the generation before: what is used again moves on
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(tokens.values()) + 1, bool)  # ids that end a word
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
@@ -122,9 +120,15 @@ class Words(dict):
         new: set[str] = set()
         for words in cut:
             new.update(words)
-        if len(self) + len(new) > WORDS:
+        if len(self) + len(new) > WORDS // 2:
+            self.before = dict(self)
             self.clear()
-        fresh = list(new.difference(self))
+        fresh = new.difference(self)
+        if self.before:
+            again = fresh.intersection(self.before)
+            self.update(zip(again, map(self.before.__getitem__, again), strict=True))
+            fresh -= again
+        fresh = list(fresh)
         for at in range(0, len(fresh), 2000):  # short-lived lists only
             self._learn(fresh[at : at + 2000])
         return [b"".join(map(self.__getitem__, words)) for words in cut]
