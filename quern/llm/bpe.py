@@ -167,14 +167,21 @@ def load(ranks_path: str, pattern: str) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`df` with its texts' ids in column `ids` (binary, little-endian unsigned 32-bit). `ranks_path` is on every executor."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`df` with its texts' ids in column `ids` (binary, little-endian unsigned 32-bit). `ranks_path` is on every executor.
+
+    With a name in `decoded` the ids are decoded again into a column of that name, where they were made.
+    """
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         bpe = load(ranks_path, pattern)
-        return [pa.array([bpe.encode(t) for t in texts(part, text)], pa.binary())]
+        found = [bpe.encode(t) for t in texts(part, text)]
+        out = [pa.array(found, pa.binary())]
+        if decoded:
+            out.append(pa.array([bpe.decode(np.frombuffer(x, "<u4")) for x in found], pa.binary()))
+        return out
 
-    return append_columns(df, f"`{ids}` binary", compute)
+    return append_columns(df, f"`{ids}` binary" + (f", `{decoded}` binary" if decoded else ""), compute)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

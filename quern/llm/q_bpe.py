@@ -13,8 +13,7 @@ from quern.llm.common import documents
 def digest(df: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the texts of `df`."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(df.select("doc_id", "text"), ranks, pattern).drop("text")
-    return bpe.decode(encoded, ranks, pattern).select(
+    return bpe.encode(df.select("doc_id", "text"), ranks, pattern, decoded="decoded").select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
