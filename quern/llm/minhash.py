@@ -40,7 +40,7 @@ WORDS, CHUNK, MISS = 5, 5, 1e-6
 #: Nodes of a block of a large bucket, nodes of a side of a cell.
 BLOCK, SIDE = 1000, 1500
 #: Distinct words remembered by a worker.
-MEMORY = 300_000
+MEMORY = 100_000
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
