@@ -7,9 +7,9 @@ corpus is encoded once and any block can be read alone. `read` decodes with nump
 bytes of its four values were kept, the value bytes fill these, and the ranks look up the ids. Blocks are rows of a Parquet table, so any
 store that Spark can write holds them and a lost task leaves no half of a file.
 
-Each distinct word, a match of the tokenizer's own splitter, is encoded once by its library. Where a text isn't plain Latin
-script in composed form it is cut at blanks and line feeds only, which the library's normaliser and splitter never look
-across, and such a piece goes to the library as it is.
+Texts are cut at blanks and line feeds, which the library's normaliser and splitter never look across. Each distinct piece is cut
+into the splitter's own matches, and each distinct word of these is encoded once by the library. A piece that isn't plain
+Latin script in composed form goes to the library as it is.
 
 Results: a null text counts as empty; a null key comes first; rows with equal keys are ordered by text; an empty table gives an
 empty file set.
@@ -22,18 +22,20 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import col, slices, texts
+from quern.llm.common import col, slices
 
 #: Ids of a block, at which it is closed; distinct words remembered by a worker.
-BLOCK_IDS, WORDS = 2_000_000, 500_000
+BLOCK_IDS, WORDS = 2_000_000, 900_000
 #: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
 HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
@@ -41,8 +43,6 @@ MAGIC = b"QVB1"
 WORD = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
 #: Whatever isn't ASCII text, a Latin letter that is its own composed form, or common punctuation.
 OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u012f\u0132-\u017e\u2010-\u201e\u2026]")
-#: Comes before a piece that the library gets as it is.
-ODD = "\0"
 #: Which of the sixteen bytes of its four values each control byte keeps, from the rule of two bits a value.
 KEPT = np.array([[k <= c >> 2 * i & 3 for i in range(4) for k in range(4)] for c in range(256)], bool)
 
@@ -65,7 +65,7 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u4")
 
 
-def encode_block(lengths: list[int], ids: np.ndarray) -> bytes:
+def encode_block(lengths: np.ndarray | list[int], ids: np.ndarray) -> bytes:
     counts = np.bincount(ids)
     used = np.flatnonzero(counts)
     order = used[np.argsort(-counts[used], kind="stable")]
@@ -90,7 +90,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words(dict):
-    """Packed ids of words; of pieces that only the library may cut under ODD and the piece."""
+    """Packed ids of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -102,47 +102,57 @@ class Words(dict):
         self.ends = np.zeros(max(tokens.values()) + 1, bool)  # ids that end a word
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
-    def cut(self, text: str) -> list[str]:
-        """The words of a text in order."""
-        if not OTHER.search(text) and "<|" not in text:
-            return WORD.findall(text.lower())
-        out: list[str] = []
-        for piece in text.replace("\n", " ").split(" "):
-            if OTHER.search(piece) or "<|" in piece:
-                out.append(ODD + piece)
-            else:
-                out += WORD.findall(piece.lower())
-        return out
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column one after the other, and how many each text has. Pieces are parted and numbered in
+        Arrow, so Python meets each distinct one once a slice."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        packed = self._packed(coded.dictionary.to_pylist())
+        every = np.frombuffer(b"".join(packed), "<u4")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        found = every[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        return found, np.diff(ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The packed ids of texts."""
-        cut = [self.cut(t) for t in batch]
-        new: set[str] = set()
-        for words in cut:
-            new.update(words)
-        if len(self) + len(new) > WORDS // 2:
+        found, lengths = self.ids(pa.array(batch, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(found, np.cumsum(lengths)[:-1])] if batch else []
+
+    def _packed(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 20_000):
+            some = pieces[at : at + 20_000]
+            cut = [(p.lower(),) if p.isalpha() else (p[:-1].lower(), p[-1]) if p[:-1].isalpha() and p[-1] > " " else WORD.findall(p.lower()) for p in some]
+            odd = [i for i, p in enumerate(some) if OTHER.search(p) or "<|" in p]
+            for i in odd:
+                cut[i] = ()
+            self._learn(set(chain.from_iterable(cut)))
+            packed = [self[w[0]] if len(w) == 1 else b"".join([self[x] for x in w]) for w in cut]
+            for i, found in zip(odd, self.library.encode_batch([some[i] for i in odd], add_special_tokens=False), strict=True):
+                packed[i] = np.array(found.ids, "<u4").tobytes()
+            out += packed
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self) + len(words) > WORDS // 2:
             self.before = dict(self)
             self.clear()
-        fresh = new.difference(self)
-        if self.before:
-            again = fresh.intersection(self.before)
+        fresh = words.difference(self)
+        if again := fresh.intersection(self.before) if self.before else ():
             self.update(zip(again, map(self.before.__getitem__, again), strict=True))
             fresh -= again
         fresh = list(fresh)
-        for at in range(0, len(fresh), 2000):  # short-lived lists only
-            self._learn(fresh[at : at + 2000])
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if w[0] == ODD]
-        for word, found in zip(odd, self.library.encode_batch([w[1:] for w in odd], add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-        words = [w for w in words if w[0] != ODD] if odd else words
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        packed, start = ids.tobytes(), 0
-        for word, stop in zip(words, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
-            self[word] = packed[start:stop]
-            start = stop
+        for at in range(0, len(fresh), 2000):
+            some = fresh[at : at + 2000]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            packed, start = ids.tobytes(), 0
+            for word, stop in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                self[word] = packed[start:stop]
+                start = stop
 
 
 @lru_cache(maxsize=2)
@@ -156,31 +166,37 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
     schema = T.StructType.fromDDL("part int, block int, before long, n_ids long").add("keys", T.ArrayType(kind)).add("data", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = load(tokenizer), np.array([end_id], "<u4").tobytes()
-        total = 0
-        part, block, before = TaskContext.get().partitionId(), 0, 0
+        words = load(tokenizer)
+        part, block, before, total = TaskContext.get().partitionId(), 0, 0, 0
         keys: list[pa.Array] = []
-        lengths: list[int] = []
-        packed: list[bytes] = []
+        lengths: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            found = np.frombuffer(b"".join(packed), "<u4")
             arrays = pa.concat_arrays(keys)
             listed = pa.ListArray.from_arrays(pa.array([0, len(arrays)], pa.int32()), arrays)
-            row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([len(found)]), listed]
-            return pa.RecordBatch.from_arrays([*row, pa.array([encode_block(lengths, found)])], names=schema.names)
+            row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([total]), listed]
+            data = encode_block(np.concatenate(lengths), np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([*row, pa.array([data])], names=schema.names)
 
         for batch in batches:
-            for piece in slices(batch, 1 << 20):
+            for piece in slices(batch):
+                if not piece.num_rows:
+                    continue
+                found, sizes = words.ids(piece.column(1))
+                ends = np.cumsum(sizes + 1) - 1
+                with_ends = np.empty(len(found) + len(sizes), np.uint32)
+                own = np.ones(len(with_ends), bool)
+                own[ends] = False
+                with_ends[own], with_ends[ends] = found, end_id
                 keys.append(piece.column(0))
-                for x in words.encode(texts(piece, text)):
-                    lengths.append(len(x) // 4 + 1)
-                    total += lengths[-1]
-                    packed += (x, end)
+                lengths.append(sizes + 1)
+                ids.append(with_ends)
+                total += len(with_ends)
                 if total >= BLOCK_IDS:
                     yield close()
                     before, block, total = before + total, block + 1, 0
-                    keys, lengths, packed = [], [], []
+                    keys, lengths, ids = [], [], []
         if lengths:
             yield close()
 
