@@ -42,7 +42,7 @@ def test_words_are_the_library(text):
 
 def test_words_at_any_memory(monkeypatch):
     words = token_files.Words(PATH)
-    monkeypatch.setattr(token_files, "WORDS", 8)
+    monkeypatch.setattr(token_files, "WORDS", 20)
     texts = [f"word{i} again and again {i % 3}" for i in range(60)]
     found = [x for i in range(0, 60, 4) for x in words.encode(texts[i : i + 4])]
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [e.ids for e in words.library.encode_batch(texts, add_special_tokens=False)]
