@@ -1,11 +1,12 @@
 """Near-duplicates: minwise signatures and a multi-index Hamming join.
 
-A document is the set of its shingles of words; documents with equal sets are one node. A signature has k positions of b bits,
+A document is the set of its shingles of words; documents with equal sets are one node. A signature has positions of 16 bits,
 each the hash of a set's minimum under one permutation, so the distance of two signatures (positions that differ) follows the
-sets' similarity. The signature is split into chunks. By the pigeonhole principle two signatures at most `far` positions
-apart have a chunk with at most one error, so a chunk is entered once for each position that may be wrong, with that
-position left out: every pair within the distance meets in a bucket. k is the least for which a pair at the similarity threshold
-is farther apart with a probability below MISS.
+sets' similarity. Its first positions are split into m chunks. By the pigeonhole principle two signatures at most 2m - 1
+of these apart have a chunk with at most one error, so a chunk is entered once for each position that may be wrong, with
+that position left out: every pair within the distance meets in a bucket. m is the least for which a pair at the similarity
+threshold is farther apart with a probability below MISS. The rest of the signature sharpens the distance that a pair must
+keep to be confirmed, with the same bound.
 
 Buckets are worked through in two rounds, so that a group of near copies costs a star, not all its pairs:
 1. each node of a bucket is paired with the bucket's least node; pairs within the distance are confirmed on the full
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import append_columns, col, materialise, texts
 
-#: Words of a shingle, positions of a chunk, most probable miss of a pair at the threshold.
-WORDS, CHUNK, MISS = 5, 5, 1e-6
+#: Words of a shingle, positions of a chunk, positions of a signature at least, most probable miss of a pair at the threshold.
+WORDS, CHUNK, POSITIONS, MISS = 5, 4, 112, 1e-6
 #: Nodes of a block of a large bucket, nodes of a side of a cell.
 BLOCK, SIDE = 1000, 1500
 #: Distinct words remembered by a worker.
@@ -76,13 +78,22 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def plan(percent: int) -> tuple[int, int]:
-    """Chunks of a signature and the distance that they guarantee, for a similarity threshold in percent."""
+class Plan(NamedTuple):
+    """Chunks that are entered in buckets, all positions, and the distance over all of them up to which a pair is confirmed."""
+
+    chunks: int
+    positions: int
+    far: int
+
+
+def plan(percent: int) -> Plan:
+    """The least signature for a similarity threshold in percent: each of its two tests misses a pair there with MISS at most."""
     p = 1 - percent / 100
+    beyond = lambda k, far: sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(far + 1, k + 1))
     for chunks in range(4, 200):
-        k, far = chunks * CHUNK, 2 * chunks - 1
-        if sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(far + 1, k + 1)) < MISS:
-            return chunks, far
+        if beyond(chunks * CHUNK, 2 * chunks - 1) < MISS:
+            k = max(POSITIONS, chunks * CHUNK)
+            return Plan(chunks, k, next(far for far in range(k + 1) if beyond(k, far) < MISS))
     raise ValueError(f"no signature for {percent} percent")
 
 
@@ -107,11 +118,11 @@ def node_of(sets: np.ndarray) -> int:
     return int.from_bytes(digest(sets)[:8], "little", signed=True)
 
 
-def signed(df: DataFrame, text: str, chunks: int, words: int) -> DataFrame:
+def signed(df: DataFrame, text: str, k: int, words: int) -> DataFrame:
     """`df` with node, n_shingles and sig in place of its text."""
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        a, b = permutations(chunks * CHUNK)
+        a, b = permutations(k)
         nodes, counts, sigs = [], [], []
         for t in texts(part, text):
             s = shingles(t, words)
@@ -129,7 +140,7 @@ def stacked(sigs: pa.Array, k: int) -> np.ndarray:
 
 def bucket_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """(nodes, chunks * CHUNK) keys: each chunk with each of its positions left out."""
-    four = sig.reshape(len(sig), chunks, CHUNK).astype(np.uint64)
+    four = sig[:, : chunks * CHUNK].reshape(len(sig), chunks, CHUNK).astype(np.uint64)
     out = np.empty((len(sig), chunks, CHUNK), np.uint64)
     for gap in range(CHUNK):
         value = np.zeros((len(sig), chunks), np.uint64)
@@ -140,22 +151,22 @@ def bucket_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     return out.reshape(len(sig), -1).view(np.int64)
 
 
-def entries(nodes: DataFrame, chunks: int) -> DataFrame:
+def entries(nodes: DataFrame, p: Plan) -> DataFrame:
     """node, sig -> key, node: a row for each bucket that a node is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                keys = bucket_keys(stacked(part.column(1), chunks * CHUNK), chunks)
+                keys = bucket_keys(stacked(part.column(1), p.positions), p.chunks)
                 owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owner)], names=["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def near(pairs: DataFrame, nodes: DataFrame, chunks: int, far: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose signatures are at most `far` apart and whose sizes allow the similarity."""
+def near(pairs: DataFrame, nodes: DataFrame, p: Plan, percent: int) -> DataFrame:
+    """The pairs (x, y) whose signatures are near and whose sizes allow the similarity."""
     facts = nodes.select("node", "n", "sig")
     both = pairs.join(facts.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x")), "x")
     both = both.join(facts.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("sig").alias("sig_y")), "y")
@@ -163,9 +174,8 @@ def near(pairs: DataFrame, nodes: DataFrame, chunks: int, far: int, percent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = chunks * CHUNK
-            apart = (stacked(batch.column(2), k) != stacked(batch.column(3), k)).sum(1)
-            keep = pa.array(apart <= far)
+            apart = (stacked(batch.column(2), p.positions) != stacked(batch.column(3), p.positions)).sum(1)
+            keep = pa.array(apart <= p.far)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
 
     return both.mapInArrow(run, "x long, y long")
@@ -174,14 +184,14 @@ def near(pairs: DataFrame, nodes: DataFrame, chunks: int, far: int, percent: int
 class Group:
     """The nodes of a bucket, or of a pair of its blocks, by their number of shingles."""
 
-    def __init__(self, rows: pa.Table, chunks: int, far: int, percent: int):
+    def __init__(self, rows: pa.Table, p: Plan, percent: int):
         get = lambda c: rows.column(c).to_numpy()
-        self.chunks, self.far = chunks, far
+        self.plan = p
         self.key, self.mixed = get("key")[0], get("i")[0] != get("j")[0]
         order = np.argsort(get("n"), kind="stable")
         self.order, self.n = order, get("n")[order]
         self.mine, self.node, self.comp = (get(c)[order] for c in ("mine", "node", "comp"))
-        self.sig = stacked(rows.column("sig").combine_chunks(), chunks * CHUNK)[order]
+        self.sig = stacked(rows.column("sig").combine_chunks(), p.positions)[order]
         self.top = np.searchsorted(self.n, self.n * 100 // percent, side="right")  # partners are at most so large
 
     def partners(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -195,16 +205,16 @@ class Group:
             if not len(other):
                 continue
             differ = self.sig[other] != self.sig[at]
-            close = differ.sum(1) <= self.far
+            close = differ.sum(1) <= self.plan.far
             other, differ = other[close], differ[close]
             if not len(other):
                 continue
             # The first bucket of two: the first chunk with one error at most, left out where it is.
-            wrong = differ.reshape(len(other), self.chunks, CHUNK)
+            wrong = differ[:, : self.plan.chunks * CHUNK].reshape(len(other), self.plan.chunks, CHUNK)
             errors = wrong.sum(2)
             chunk, rows = (errors <= 1).argmax(1), np.arange(len(other))
             gap = np.where(errors[rows, chunk] == 1, wrong[rows, chunk].argmax(1), 0)
-            other = other[bucket_keys(self.sig[at : at + 1], self.chunks)[0][chunk * CHUNK + gap] == self.key]
+            other = other[bucket_keys(self.sig[at : at + 1], self.plan.chunks)[0][chunk * CHUNK + gap] == self.key]
             if len(other):
                 yield at, other
 
@@ -231,7 +241,7 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 GROUP = "key long, i int, j int, mine int, node long, comp long, n long, sig binary"
 
 
-def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, chunks: int, far: int, percent: int, words: int) -> DataFrame:
+def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, p: Plan, percent: int, words: int) -> DataFrame:
     """key, node, comp -> links (x, y) that join components within a bucket.
 
     Near pairs aren't written out: a first pass keeps the nodes that have a partner in their bucket, these get their
@@ -250,7 +260,7 @@ def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, chunks: int, f
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches):
-            group = Group(table, chunks, far, percent)
+            group = Group(table, p, percent)
             used = np.zeros(len(group.node), bool)
             for at, partners in group.partners():
                 used[at] = True
@@ -270,7 +280,7 @@ def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, chunks: int, f
             for at, (node, t) in enumerate(zip(table.column("node").to_pylist(), table.column("text").to_pylist(), strict=True)):
                 if node not in sets and node_of(s := shingles(t or "", words)) == node:  # rows may share a key and have other texts
                     sets[node], rows[node] = s, at
-            group = Group(table.take(pa.array(sorted(rows.values()))), chunks, far, percent)
+            group = Group(table.take(pa.array(sorted(rows.values()))), p, percent)
             above: dict[int, int] = {}
 
             def root(c: int, above: dict[int, int] = above) -> int:
@@ -281,12 +291,12 @@ def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, chunks: int, f
 
             x, y = [], []
             for at, partners in group.partners():
-                for p in partners.tolist():
-                    a, b = root(int(group.comp[at])), root(int(group.comp[p]))
-                    if a != b and alike(sets[int(group.node[at])], sets[int(group.node[p])], percent):
+                for q in partners.tolist():
+                    a, b = root(int(group.comp[at])), root(int(group.comp[q]))
+                    if a != b and alike(sets[int(group.node[at])], sets[int(group.node[q])], percent):
                         above[max(a, b)] = min(a, b)
                         x.append(int(group.node[at]))
-                        y.append(int(group.node[p]))
+                        y.append(int(group.node[q]))
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
@@ -351,22 +361,22 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS) -> DataFrame:
     """A row for each row of `df`: its key, n_shingles, component_id, kept. Links: similarity of `percent` or more."""
-    chunks, far = plan(percent)
+    p = plan(percent)
     docs = df.select(col(key).alias("key"), col(text).alias("text"))
-    known = materialise(signed(docs, "text", chunks, words), "signatures")
+    known = materialise(signed(docs, "text", p.positions, words), "signatures")
     nodes = known.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = materialise(nodes, "nodes")
 
-    entered = entries(nodes, chunks)
+    entered = entries(nodes, p)
     pivots = entered.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
     shared = materialise(entered.join(pivots, "key"), "buckets")
     stars = shared.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
-    tested = materialise(near(stars, nodes, chunks, far, percent), "stars")
+    tested = materialise(near(stars, nodes, p, percent), "stars")
     links = materialise(confirmed(tested, nodes, docs, percent, words), "links")
     comps = materialise(components(links), "components")
 
     named = shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more = materialise(across(named, nodes, docs, chunks, far, percent, words), "more-links")
+    more = materialise(across(named, nodes, docs, p, percent, words), "more-links")
     if not more.isEmpty():
         comps = materialise(components(links.union(more)), "components")
 
