@@ -26,7 +26,7 @@ from quern.llm.common import append_columns, texts
 #: Bytes up to which a part is merged directly; longer ones are halved.
 LEAF_BYTES = 5
 #: Bytes up to which an encoding is remembered by a worker; matches, and halves, windows or token pairs that are.
-KNOWN_BYTES, MATCHES, PARTS = 32, 300_000, 100_000
+KNOWN_BYTES, MATCHES, PARTS = 32, 200_000, 60_000
 #: Tokens decoded in one leaf of the tree.
 LEAF_TOKENS = 4096
 
