@@ -121,13 +121,13 @@ def test_pigeonhole():
     """Any two signatures within the distance share a bucket."""
     import numpy as np
 
-    chunks, far = minhash.plan(85)
+    p = minhash.plan(85)
     rng = np.random.default_rng(3)
-    one = rng.integers(0, 1 << 16, chunks * minhash.CHUNK, dtype=np.uint16)
+    one = rng.integers(0, 1 << 16, p.positions, dtype=np.uint16)
     for _ in range(200):
         other = one.copy()
-        other[rng.choice(len(one), far, replace=False)] ^= 1
-        keys = minhash.bucket_keys(np.stack([one, other]), chunks)
+        other[rng.choice(p.chunks * minhash.CHUNK, 2 * p.chunks - 1, replace=False)] ^= 1
+        keys = minhash.bucket_keys(np.stack([one, other]), p.chunks)
         assert (keys[0] == keys[1]).any()
 
 
