@@ -7,6 +7,8 @@ plain numbers, radix digits, US, European and other groupings, underscores, null
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -298,3 +300,24 @@ def required(value: Column, path: str, target: str, config: ShapeConfig | None =
 def shape(value: Column, path: str, target: str, mode, config: ShapeConfig | None = None) -> Column:
     """`extract` at the coercion level of a mode."""
     return extract(value, path, target, (config or ShapeConfig()).with_mode(mode))
+
+
+#: User types: the target that a value is coerced to first, and what makes the type's value of it (NULL refuses it).
+USER_TYPES: dict[str, tuple[str, Callable[[Column], Column]]] = {}
+
+
+def register_type(name: str, base: str, make: Callable[[Column], Column]) -> None:
+    if base not in SPARK:
+        raise ValueError(f"unknown target {base!r}")
+    USER_TYPES[name] = base, make
+
+
+def coerce_user(value: Column, name: str, config: ShapeConfig | None = None, optional: bool = False) -> Column:
+    """STRUCT<value, ok, coerced, diag> of a registered type."""
+    base, make = USER_TYPES[name]
+
+    def one(c: Column) -> Column:
+        made = X.let(c["value"], make)
+        return F.struct(made.alias("value"), (c["ok"] & (made.isNotNull() | c["value"].isNull())).alias("ok"), c["coerced"].alias("coerced"), c["diag"].alias("diag"))
+
+    return X.let(coerce(value, base, config, optional), one)

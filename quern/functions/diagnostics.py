@@ -52,6 +52,17 @@ def rows(df: DataFrame, diagnostics: str = "_diag", at_least: int = INFO) -> Dat
     return out.where(F.col("diag.risk") >= at_least)
 
 
+def to_sinks(stream: DataFrame, *sinks, diagnostics: str = "_diag", at_least: int = INFO):
+    """A streaming writer that hands each batch's diagnostics, one a row, to every sink: functions of a DataFrame."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        found = rows(df, diagnostics, at_least)
+        for sink in sinks:
+            sink(found)
+
+    return stream.writeStream.foreachBatch(batch)
+
+
 def show(df: DataFrame, diagnostics: str = "_diag", most: int = 100) -> None:
     """Prints the first diagnostics to the driver's standard error."""
     import sys

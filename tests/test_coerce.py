@@ -105,3 +105,32 @@ def test_config():
     assert Mode.parse(" Strict ") is STRICT and STRICT.fail_fast and ABSORBING.require_all and not LENIENT.reject_unknown
     with pytest.raises(ValueError, match="lenient"):
         Mode.parse("loose")
+
+
+def test_user_types(spark):
+    C.register_type("even", "i64", lambda v: F.when(v % 2 == 0, v))
+    df = values(spark, ['"4"', "3", "null"])
+    rows = df.select("i", C.coerce_user(F.col("v"), "even", optional=True).alias("x")).orderBy("i").collect()
+    assert [(r.x.value, r.x.ok) for r in rows] == [(4, True), (None, False), (None, True)]
+
+
+def test_diagnostics(spark, capsys):
+    from quern.functions import diagnostics as D
+
+    df = values(spark, ['"7"', '"0x7"', "7"]).select("i", F.array_compact(F.array(C.coerce(F.col("v"), "u8")["diag"])).alias("_diag"))
+    assert D.rows(df).count() == 2 and D.rows(df, at_least=D.WARNING).count() == 1
+    text = D.rows(df).where("i = 1").select(D.display(F.col("diag"), "a.b")).first()[0]
+    assert text.startswith("[warning] at 'a.b': coerced radix-prefixed string → u8 — ")
+    D.show(df)
+    assert "radix" in capsys.readouterr().err
+
+
+def test_lookups(spark):
+    from quern.sources.lookups import NoLookups, StaticLookups
+
+    known = StaticLookups({("USD", "EUR"): 0.5}, {("a", "b"): 3.0}, {"t": {"k": "v"}})
+    assert (known.exchange_rate("USD", "EUR"), known.conversion_factor("a", "b"), known.lookup("t", "k"), known.lookup("t", "z")) == (0.5, 3.0, "v", None)
+    assert NoLookups().exchange_rate("USD", "EUR") is None
+    assert known.rates_frame(spark).count() == known.factors_frame(spark).count() == 1
+    df = spark.createDataFrame([("k",), ("z",)], "k string")
+    assert [r[0] for r in df.select(known.column("t", F.col("k"))).collect()] == ["v", None]
