@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import variants as V
-from quern.functions.coerce import extract
+from quern.functions.coerce import coerce
 from quern.functions.lookup import lookup
 from quern.functions.text import let
 
@@ -26,13 +26,23 @@ OPENAI_STOPS = {"stop": "end_turn", "tool_calls": "tool_use", "length": "max_tok
 OLLAMA_STOPS = {"stop": "end_turn", "length": "max_tokens"}
 
 
+def _text_of(v: Column) -> Column:
+    """A value as text, as coercion at its loosest has it."""
+
+    def one(x: Column) -> Column:
+        k = x["k"]
+        return F.when(k == "string", x["s"]).when(k == "float", V.number_text(x["v"])).when(k == "null", F.lit("")).when(k.isNotNull(), F.to_json(x["v"]))
+
+    return let(F.struct(v.alias("v"), V.kind(v).alias("k"), F.try_variant_get(v, "$", "string").alias("s")), one)
+
+
 def _string(value: Column, path: str) -> Column:
-    return extract(value, path, "string")["value"]
+    return _text_of(V.at(value, path))
 
 
-def _count(value: Column, path: str) -> Column:
-    found = extract(value, path, "i64")
-    return F.when(found["status"] == "ok", found["value"])
+def _counts(value: Column, *paths: str) -> Column:
+    """The numbers at several paths, coerced by one expression."""
+    return F.transform(F.array(*(V.at(value, p) for p in paths)), lambda v: F.when(v.isNotNull(), coerce(v, "u64")["value"].cast("bigint")))
 
 
 def _block(kind: str, **parts: Column) -> Column:
@@ -42,36 +52,44 @@ def _block(kind: str, **parts: Column) -> Column:
 
 def _stop(value: Column, path: str, names: dict[str, str], missing: str, null: str) -> Column:
     """A provider's reason in ours; `unknown:` and the text, or why there is none."""
-    text = _string(value, path)
-    known = F.coalesce(lookup(names, text), F.concat(F.lit("unknown:"), text))
-    return let(V.walk(value, path), lambda x: F.when(x["status"] != "ok", F.lit(f"unknown:{missing}")).when(F.is_variant_null(x["value"]), F.lit(f"unknown:{null}")).otherwise(known))
+    known = lambda t: F.coalesce(lookup(names, t), F.concat(F.lit("unknown:"), t))
+    return let(
+        V.walk(value, path),
+        lambda x: F.when(x["status"] != "ok", F.lit(f"unknown:{missing}")).when(F.is_variant_null(x["value"]), F.lit(f"unknown:{null}")).otherwise(let(_text_of(x["value"]), known)),
+    )
 
 
-def _response(id_: Column, model: Column, content: Column, stop: Column, usage: tuple[Column, ...], raw: Column, required: tuple[tuple[str, Column], ...]) -> Column:
-    zero = F.lit(0).cast("bigint")
-    n = [F.coalesce(usage[0], zero), F.coalesce(usage[1], zero), *(usage[2:] or (F.lit(None), F.lit(None)))]
-    counts = F.struct(*(c.cast("bigint").alias(k) for k, c in zip(("input_tokens", "output_tokens", "cache_read", "cache_creation"), n, strict=True)))
-    error = F.coalesce(*(F.when(c.isNull(), F.lit(path)) for path, c in required))
-    return F.struct(
-        id_.alias("id"), model.alias("model"), F.filter(content, lambda b: b.isNotNull()).alias("content"), stop.alias("stop_reason"), counts.alias("usage"),
-        F.to_json(raw).alias("raw"), error.alias("error"),
-    )
+def _response(id_: Column, model: Column, content: Column, stop: Column, usage: Column, raw: Column, message: Column | None = None) -> Column:
+    """The struct; `message` is a part that must be there besides the identifier and the model."""
+    required = F.struct(id_.alias("id"), model.alias("model"), (F.lit(True) if message is None else message.isNotNull()).alias("message"))
+
+    def one(x: Column) -> Column:
+        n = lambda i: F.get(x["usage"], F.lit(i))
+        zero = F.lit(0).cast("bigint")
+        counts = F.struct(F.coalesce(n(0), zero).alias("input_tokens"), F.coalesce(n(1), zero).alias("output_tokens"), n(2).alias("cache_read"), n(3).alias("cache_creation"))
+        error = F.when(x["r"]["id"].isNull(), "id").when(x["r"]["model"].isNull(), "model").when(~x["r"]["message"], "choices[0].message")
+        return F.struct(
+            x["r"]["id"].alias("id"), x["r"]["model"].alias("model"), F.filter(x["content"], lambda b: b.isNotNull()).alias("content"), x["stop"].alias("stop_reason"),
+            counts.alias("usage"), x["raw"].alias("raw"), error.alias("error"),
+        )
+
+    return let(F.struct(required.alias("r"), content.alias("content"), stop.alias("stop"), usage.alias("usage"), F.to_json(raw).alias("raw")), one)
 
 
 def parse_anthropic(body: Column) -> Column:
     def block(b: Column) -> Column:
-        kind = _string(b, "type")
+        return let(F.struct(b.alias("b"), _string(b, "type").alias("kind")), lambda x: one(x["b"], x["kind"]))
+
+    def one(b: Column, kind: Column) -> Column:
         return (
             F.when(kind == "text", _block("text", text=_string(b, "text")))
             .when(kind == "tool_use", _block("tool_use", id=_string(b, "id"), name=_string(b, "name"), input=F.to_json(V.at(b, "input"))))
             .otherwise(_block("unknown", block_type=kind, data=F.to_json(b)))
         )
 
-    id_, model = _string(body, "id"), _string(body, "model")
-    usage = tuple(_count(body, f"usage.{k}") for k in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"))
+    usage = _counts(body, *(f"usage.{k}" for k in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")))
     content = F.transform(V.elements(V.at(body, "content")), block)
-    stop = _stop(body, "stop_reason", ANTHROPIC_STOPS, "missing", "null")
-    return _response(id_, model, content, stop, usage, body, (("id", id_), ("model", model)))
+    return _response(_string(body, "id"), _string(body, "model"), content, _stop(body, "stop_reason", ANTHROPIC_STOPS, "missing", "null"), usage, body)
 
 
 def _arguments(call: Column) -> Column:
@@ -85,25 +103,26 @@ def _text_block(text: Column) -> Column:
 
 
 def parse_openai(body: Column) -> Column:
-    id_, model, message = _string(body, "id"), _string(body, "model"), V.at(body, "choices[0].message")
-    calls = F.transform(V.elements(V.at(message, "tool_calls")), lambda c: _block("tool_use", id=_string(c, "id"), name=_string(c, "function.name"), input=_arguments(c)))
-    content = F.concat(F.array(_text_block(_string(message, "content"))), calls)
-    stop = _stop(body, "choices[0].finish_reason", OPENAI_STOPS, "missing", "null")
-    usage = (_count(body, "usage.prompt_tokens"), _count(body, "usage.completion_tokens"))
-    return _response(id_, model, content, stop, usage, body, (("id", id_), ("model", model), ("choices[0].message", message)))
+    def whole(x: Column) -> Column:
+        b, message = x["b"], x["m"]
+        calls = F.transform(V.elements(V.at(message, "tool_calls")), lambda c: _block("tool_use", id=_string(c, "id"), name=_string(c, "function.name"), input=_arguments(c)))
+        content = F.concat(F.array(let(_string(message, "content"), _text_block)), calls)
+        usage = _counts(b, "usage.prompt_tokens", "usage.completion_tokens")
+        return _response(_string(b, "id"), _string(b, "model"), content, _stop(b, "choices[0].finish_reason", OPENAI_STOPS, "missing", "null"), usage, b, message)
+
+    return let(F.struct(body.alias("b"), V.at(body, "choices[0].message").alias("m")), whole)
 
 
 def parse_ollama(body: Column) -> Column:
-    model = _string(body, "model")
-    id_ = F.coalesce(F.when(V.has(body, "created_at") & ~F.is_variant_null(V.at(body, "created_at")), _string(body, "created_at")), F.lit("ollama"))
+    made = let(V.at(body, "created_at"), lambda v: F.when(v.isNotNull() & ~F.is_variant_null(v), _text_of(v)))
 
     def call(c: Column) -> Column:
         name = _string(c, "function.name")
-        return _block("tool_use", id=F.concat(F.lit("ollama_"), name), name=name, input=F.coalesce(F.to_json(V.at(c, "function.arguments")), F.lit("{}")))
+        return let(name, lambda n: _block("tool_use", id=F.concat(F.lit("ollama_"), n), name=n, input=F.coalesce(F.to_json(V.at(c, "function.arguments")), F.lit("{}"))))
 
-    content = F.concat(F.array(_text_block(_string(body, "message.content"))), F.transform(V.elements(V.at(body, "message.tool_calls")), call))
+    content = F.concat(F.array(let(_string(body, "message.content"), _text_block)), F.transform(V.elements(V.at(body, "message.tool_calls")), call))
     stop = _stop(body, "done_reason", OLLAMA_STOPS, "unknown", "unknown")
-    return _response(id_, model, content, stop, (_count(body, "prompt_eval_count"), _count(body, "eval_count")), body, (("model", model),))
+    return _response(F.coalesce(made, F.lit("ollama")), _string(body, "model"), content, stop, _counts(body, "prompt_eval_count", "eval_count"), body)
 
 
 def text(response: Column) -> Column:
