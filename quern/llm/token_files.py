@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import col, slices
+from quern.llm.common import SLICE_BYTES, col, slices
 
 #: Ids of a block, at which it is closed; distinct words remembered by a worker.
-BLOCK_IDS, WORDS = 2_000_000, 900_000
+BLOCK_IDS, WORDS = 2_000_000, 1_300_000
 #: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
 HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
@@ -180,7 +180,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
             return pa.RecordBatch.from_arrays([*row, pa.array([data])], names=schema.names)
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 2 * SLICE_BYTES):
                 if not piece.num_rows:
                     continue
                 found, sizes = words.ids(piece.column(1))
