@@ -4,6 +4,10 @@ Features of a whole text: densities of a learned lexicon (words and word beginni
 a second person, capitals, punctuation and obfuscation. Shallow trees are boosted on logistic loss over binned features; their
 margins on rows they weren't fitted on give the isotonic map from margin to probability.
 
+Of large tables the model sees a bounded draw of each label. A row then stands for 1 / rate of its label in the trees and in the map, so scores
+are probabilities at the shares of all labelled rows. The lexicon needs no weights: its log-odds compare shares within a label, which a
+draw by label keeps, and their z goes by the documents that were counted.
+
 The lexicon comes from document counts by label over the labelled sample. When the trees are fitted, a document's own part
 in those counts is taken out first, so its features are what an unseen document's would be.
 
@@ -125,18 +129,19 @@ def features(text: str, codes: Codes) -> list[float]:
     ]
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray) -> dict:
-    """Boosted trees of fixed depth on binned features: histograms of gradients, the best gain at each node."""
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Boosted trees of fixed depth on binned features: histograms of weighted gradients, the best gain at each node."""
     rows, width = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
     bins = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(width)], 1)
-    share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    weight = weight / weight.mean()  # the penalty on leaf weights goes by the rows that there are
+    share = np.clip((weight * y).mean(), 1e-12, 1 - 1e-12)
     base = float(np.log(share / (1 - share)))
     margin = np.full(rows, base)
     trees = []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        grad, hess = p - y, p * (1 - p)
+        grad, hess = weight * (p - y), weight * p * (1 - p)
         node = np.zeros(rows, np.int64)
         splits = []
         for depth in range(DEPTH):
@@ -174,25 +179,26 @@ def margins(model: dict, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pools neighbours until the shares rise: the middle of each pool and its share, half a row of either label added."""
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pools neighbours until the weighted shares rise: the middle of each pool and its share, half a row at the share of all added."""
     order = np.argsort(margin, kind="stable")
-    pools: list[list[float]] = []  # rows, ones, sum of margins
-    for m, v in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([1.0, v, m])
+    weight = np.ones(len(y)) if weight is None else weight
+    pools: list[list[float]] = []  # weight, weight of ones, weighted sum of margins, rows
+    for m, v, w in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        pools.append([w, w * v, w * m, 1.0])
         while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    rows, ones, total = np.array(pools).T
-    return total / rows, (ones + 0.5 * ones.sum() / rows.sum()) / (rows + 0.5)
+    total, ones, middle, rows = np.array(pools).T
+    return middle / total, (rows * ones / total + 0.5 * ones.sum() / total.sum()) / (rows + 0.5)
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn, key: str, text: str, label: str) -> DataFrame:
-    """key, text, label of the labelled rows to learn from: SAMPLE of each label, drawn by a hash of the key over all of them."""
+    """key, text, label, weight (1 / rate) of the labelled rows to learn from: SAMPLE of each label, drawn by a hash of the key over all of them."""
     rows = labels.where(learn & col(label).isin(0, 1)).select(col(key).alias("key"), col(label).cast("int").alias("label"))
     rates = {r["label"]: min(1.0, SAMPLE / r["n"]) for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rate = F.coalesce(*(F.when(F.col("label") == k, F.lit(v)) for k, v in rates.items()), F.lit(0.0))
-    drawn = rows.where(hex_unit(F.col("key"), "toxicity") < rate)
+    of_label = lambda values: F.coalesce(*(F.when(F.col("label") == k, F.lit(v)) for k, v in values.items()), F.lit(0.0))
+    drawn = rows.where(hex_unit(F.col("key"), "toxicity") < of_label(rates)).withColumn("weight", of_label({k: 1 / v for k, v in rates.items()}))
     # About 2 * SAMPLE pairs of key and label, whatever the input.
     return docs.select(col(key).alias("key"), col(text).alias("text")).join(F.broadcast(drawn), "key")
 
@@ -233,18 +239,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: st
             for part in slices(batch):
                 own = part.column("label").to_pylist()
                 found = [features(t, codes[y]) for t, y in zip(texts(part), own, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("key").cast(pa.string())), pa.array(own, pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=["key", "label", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.column("key").cast(pa.string())), pa.array(own, pa.int32()), part.column("weight"), pa.array(found, pa.list_(pa.float64()))],
+                    names=["key", "label", "weight", "x"],
+                )
 
-    found = rows.mapInArrow(run, "key string, label int, x array<double>").toPandas().sort_values(["key", "label"], kind="stable")
-    x, y = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES)), found["label"].to_numpy(float)
+    found = rows.mapInArrow(run, "key string, label int, weight double, x array<double>").toPandas().sort_values(["key", "label"], kind="stable")
+    x, y, weight = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES)), found["label"].to_numpy(float), found["weight"].to_numpy(float)
     folds = pd.util.hash_array(found["key"].fillna("").to_numpy(object)) % FOLDS
     out = np.zeros(len(y))
     for k in range(FOLDS):
         rest = folds != k
         if rest.all() or not 0 < y[rest].mean() < 1:
             rest = np.ones(len(y), bool)
-        out[folds == k] = margins(fit_trees(x[rest], y[rest]), x[folds == k])
-    return {"lexicon": lexicon, "trees": fit_trees(x, y), "map": isotonic(out, y)}
+        out[folds == k] = margins(fit_trees(x[rest], y[rest], weight[rest]), x[folds == k])
+    return {"lexicon": lexicon, "trees": fit_trees(x, y, weight), "map": isotonic(out, y, weight)}
 
 
 def score(df: DataFrame, model: dict, text: str = "text", threshold: float = 0.7) -> DataFrame:

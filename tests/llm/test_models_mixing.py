@@ -75,6 +75,29 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(frame, none).collect()} == {0.0}
 
 
+def test_toxicity_at_the_shares_of_all_labels(spark, monkeypatch):
+    """A draw by label doesn't move the scores: a fifth of the rows is toxic, and the mark alone doesn't tell which."""
+    rng = random.Random(6)
+    filler = [f"w{chr(97 + i)}" for i in range(26)]
+    rows = []
+    for i in range(3000):
+        toxic = i % 5 == 0
+        words = rng.choices(filler, k=40)
+        if rng.random() < (0.9 if toxic else 0.4):
+            words.insert(rng.randrange(40), "!!!")
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    means = []
+    for size in (2500, 200):
+        monkeypatch.setattr(toxicity, "SAMPLE", size)
+        model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+        scored = toxicity.score(docs, model).groupBy(F.col("text").contains("!").alias("with")).agg(F.avg("score").alias("score"), F.avg("toxic").alias("share"))
+        found = {r["with"]: (r.score, r.share) for r in scored.collect()}
+        assert all(abs(score - share) < 0.08 for score, share in found.values()), (size, found)
+        means.append(found)
+    assert all(abs(means[0][k][0] - means[1][k][0]) < 0.08 for k in means[0])
+
+
 def test_toxicity_of_the_tables(spark):
     found = queries.queries()["op8_boosted_toxicity"](spark, "/root/testdata/sf0.1")
     held = found.where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
