@@ -2,11 +2,10 @@
 
 A document is the set of its shingles of words; documents with equal sets are one node. A signature has positions of 16 bits,
 each the hash of a set's minimum under one permutation, so the distance of two signatures (positions that differ) follows the
-sets' similarity. Its first positions are split into m chunks. By the pigeonhole principle two signatures at most 2m - 1
-of these apart have a chunk with at most one error, so a chunk is entered once for each position that may be wrong, with
+sets' similarity. The whole signature is split into m chunks. By the pigeonhole principle two signatures at most 2m - 1
+positions apart have a chunk with at most one error, so a chunk is entered once for each position that may be wrong, with
 that position left out: every pair within the distance meets in a bucket. m is the least for which a pair at the similarity
-threshold is farther apart with a probability below MISS. The rest of the signature sharpens the distance that a pair must
-keep to be confirmed, with the same bound.
+threshold is farther apart with a probability below MISS. Pairs within the distance are confirmed, and no others.
 
 Buckets are worked through in two rounds, so that a group of near copies costs a star, not all its pairs:
 1. each node of a bucket is paired with the bucket's least node; pairs within the distance are confirmed on the full
@@ -37,8 +36,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import append_columns, col, materialise, texts
 
-#: Words of a shingle, positions of a chunk, positions of a signature at least, most probable miss of a pair at the threshold.
-WORDS, CHUNK, POSITIONS, MISS = 5, 4, 112, 1e-6
+#: Words of a shingle, positions of a chunk, most probable miss of a pair at the threshold.
+WORDS, CHUNK, MISS = 5, 4, 1e-6
 #: Nodes of a block of a large bucket, nodes of a side of a cell.
 BLOCK, SIDE = 1000, 1500
 #: Distinct words remembered by a worker.
@@ -79,7 +78,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 class Plan(NamedTuple):
-    """Chunks that are entered in buckets, all positions, and the distance over all of them up to which a pair is confirmed."""
+    """Chunks, the positions in them (all of a signature), and the distance up to which pairs meet in a bucket and are confirmed."""
 
     chunks: int
     positions: int
@@ -87,13 +86,12 @@ class Plan(NamedTuple):
 
 
 def plan(percent: int) -> Plan:
-    """The least signature for a similarity threshold in percent: each of its two tests misses a pair there with MISS at most."""
+    """The least signature for a similarity threshold in percent: a pair there is missed with MISS at most."""
     p = 1 - percent / 100
-    beyond = lambda k, far: sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(far + 1, k + 1))
     for chunks in range(4, 200):
-        if beyond(chunks * CHUNK, 2 * chunks - 1) < MISS:
-            k = max(POSITIONS, chunks * CHUNK)
-            return Plan(chunks, k, next(far for far in range(k + 1) if beyond(k, far) < MISS))
+        k, far = chunks * CHUNK, 2 * chunks - 1
+        if sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(far + 1, k + 1)) < MISS:
+            return Plan(chunks, k, far)
     raise ValueError(f"no signature for {percent} percent")
 
 
@@ -140,7 +138,7 @@ def stacked(sigs: pa.Array, k: int) -> np.ndarray:
 
 def bucket_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """(nodes, chunks * CHUNK) keys: each chunk with each of its positions left out."""
-    four = sig[:, : chunks * CHUNK].reshape(len(sig), chunks, CHUNK).astype(np.uint64)
+    four = sig.reshape(len(sig), chunks, CHUNK).astype(np.uint64)
     out = np.empty((len(sig), chunks, CHUNK), np.uint64)
     for gap in range(CHUNK):
         value = np.zeros((len(sig), chunks), np.uint64)
@@ -210,7 +208,7 @@ class Group:
             if not len(other):
                 continue
             # The first bucket of two: the first chunk with one error at most, left out where it is.
-            wrong = differ[:, : self.plan.chunks * CHUNK].reshape(len(other), self.plan.chunks, CHUNK)
+            wrong = differ.reshape(len(other), self.plan.chunks, CHUNK)
             errors = wrong.sum(2)
             chunk, rows = (errors <= 1).argmax(1), np.arange(len(other))
             gap = np.where(errors[rows, chunk] == 1, wrong[rows, chunk].argmax(1), 0)

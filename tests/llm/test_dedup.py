@@ -131,6 +131,22 @@ def test_pigeonhole():
         assert (keys[0] == keys[1]).any()
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pigeonhole_over_the_whole_signature(percent):
+    """Any two signatures within the distance that pairs are confirmed up to share a bucket, wherever they differ."""
+    import numpy as np
+
+    p = minhash.plan(percent)
+    rng = np.random.default_rng(7)
+    one = rng.integers(0, 1 << 16, p.positions, dtype=np.uint16)
+    twos = np.arange(p.positions).reshape(-1, minhash.CHUNK)[:, :2].ravel()[: p.far]  # two errors a chunk as far as they go
+    for wrong in [twos, *(rng.choice(p.positions, p.far, replace=False) for _ in range(200))]:
+        other = one.copy()
+        other[wrong] ^= 1
+        keys = minhash.bucket_keys(np.stack([one, other]), p.chunks)
+        assert (keys[0] == keys[1]).any()
+
+
 def test_chat(spark):
     base = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more")]
     rows = [
