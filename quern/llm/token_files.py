@@ -1,9 +1,9 @@
 """Token ids in files: frequency-ranked ids, byte-aligned variable-length coding with separate control bytes.
 
-`write` deals documents out in order of their key and writes blocks. A block counts all its ids, ranks them by frequency (ties: the
-smaller id first) and holds the ids in order of rank, its documents' lengths and the ranks of their ids, each as a run of
-control bytes (two bits a value: its bytes less one) and a run of value bytes. As every block has its own ranks, the
-corpus is encoded once and any block can be read alone. `read` decodes with numpy: a control byte looks up in a table which
+`write` deals documents out in order of their key and writes their packed ids once, in blocks. The ids of all blocks are then counted
+and ranked by their frequency in the corpus (ties: the smaller id first), and the blocks are coded from the written ids. A block
+holds its documents' lengths and the ranks of their ids, each as a run of control bytes (two bits a value: its bytes less one)
+and a run of value bytes; the one table of ranks lies beside the blocks. `read` decodes with numpy: a control byte looks up in a table which
 bytes of its four values were kept, the value bytes fill these, and the ranks look up the ids. Blocks are rows of a Parquet table, so any
 store that Spark can write holds them and a lost task leaves no half of a file.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import col, slices
+from quern.llm.common import col, materialise, slices
 
 #: Ids of a block, at which it is closed; distinct words remembered by a worker.
 BLOCK_IDS, WORDS = 2_000_000, 900_000
@@ -65,28 +65,43 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u4")
 
 
-def encode_block(lengths: np.ndarray | list[int], ids: np.ndarray) -> bytes:
-    counts = np.bincount(ids)
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """The ids that are used in order of rank."""
     used = np.flatnonzero(counts)
-    order = used[np.argsort(-counts[used], kind="stable")]
-    rank_of = np.zeros(len(counts), np.uint32)
+    return used[np.argsort(-counts[used], kind="stable")]
+
+
+def encode_block(lengths: np.ndarray | list[int], ids: np.ndarray, order: np.ndarray | None = None) -> bytes:
+    """A block by the ranks of `order`; without it by those of its own ids, which it then holds."""
+    own = ranked(np.bincount(ids)) if order is None else np.zeros(0, np.uint32)
+    order = own if order is None else order
+    rank_of = np.zeros(int(order.max()) + 1, np.uint32)
     rank_of[order] = np.arange(len(order))
-    runs = [*encode_values(order), *encode_values(np.array(lengths, np.uint32)), *encode_values(rank_of[ids])]
-    return HEAD.pack(MAGIC, len(order), len(lengths), len(ids), *map(len, runs)) + b"".join(runs)
+    runs = [*encode_values(own), *encode_values(np.array(lengths, np.uint32)), *encode_values(rank_of[ids])]
+    return HEAD.pack(MAGIC, len(own), len(lengths), len(ids), *map(len, runs)) + b"".join(runs)
 
 
-def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Documents' lengths and all ids."""
+def decode_block(block: bytes, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' lengths and all ids; `order` is what the block was coded with."""
     magic, *counts = HEAD.unpack_from(block)
     counts, sizes = counts[:3], counts[3:]
-    if magic != MAGIC or len(block) != HEAD.size + sum(sizes):
+    if magic != MAGIC or len(block) != HEAD.size + sum(sizes) or not counts[0] and order is None:
         raise ValueError("not a whole block")
     runs, at = [], HEAD.size
     for size in sizes:
         runs.append(np.frombuffer(block, np.uint8, size, at))
         at += size
     ids, lengths, ranks = (decode_values(runs[2 * i], runs[2 * i + 1], n) for i, n in enumerate(counts))
-    return lengths, ids[ranks]
+    return lengths, (ids if counts[0] else order)[ranks]
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Two bytes an id where all fit, otherwise four."""
+    return ids.astype("<u4" if len(ids) and ids.max() >> 16 else "<u2").tobytes()
+
+
+def unpack_ids(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2")
 
 
 class Words(dict):
@@ -161,9 +176,11 @@ def load(path: str) -> Words:
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
-    """Writes blocks to `path`: all documents' ids in ascending order of `key`, each with `end_id` behind it."""
+    """Writes blocks and ranks to `path`: all documents' ids in ascending order of `key`, each with `end_id` behind it."""
     kind = next(f.dataType for f in df.schema if f.name == key)
-    schema = T.StructType.fromDDL("part int, block int, before long, n_ids long").add("keys", T.ArrayType(kind)).add("data", T.BinaryType())
+    placed = T.StructType.fromDDL("part int, block int, before long, n_ids long").add("keys", T.ArrayType(kind))
+    raw = T.StructType([*placed, T.StructField("lengths", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*placed, T.StructField("data", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(tokenizer)
@@ -176,8 +193,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
             arrays = pa.concat_arrays(keys)
             listed = pa.ListArray.from_arrays(pa.array([0, len(arrays)], pa.int32()), arrays)
             row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([total]), listed]
-            data = encode_block(np.concatenate(lengths), np.concatenate(ids))
-            return pa.RecordBatch.from_arrays([*row, pa.array([data])], names=schema.names)
+            data = [np.concatenate(lengths).astype("<u4").tobytes(), pack_ids(np.concatenate(ids))]
+            return pa.RecordBatch.from_arrays([*row, *(pa.array([d], pa.binary()) for d in data)], names=raw.names)
 
         for batch in batches:
             for piece in slices(batch):
@@ -201,12 +218,45 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
             yield close()
 
     ordered = df.select(col(key), col(text)).repartitionByRange(col(key)).sortWithinPartitions(col(key), col(text))
-    ordered.mapInArrow(run, schema).write.parquet(path)
+    written = materialise(ordered.mapInArrow(run, raw), "token-ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load.cache_clear()  # words are no longer needed in a worker that is used again
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.bincount(unpack_ids(data.as_buffer(), n), minlength=len(total))
+                more[: len(total)] += total
+                total = more
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    # A row for each id of the vocabulary at most.
+    counted = written.select("n_ids", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted.coalesce(1).write.parquet(f"{path}/ranks")
+    order = ranks(df.sparkSession, path)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load.cache_clear()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids = unpack_ids(row.column("ids")[0].as_buffer(), row.column("n_ids")[0].as_py())
+                data = encode_block(np.frombuffer(row.column("lengths")[0].as_buffer(), "<u4"), ids, order)
+                yield pa.RecordBatch.from_arrays([*(row.column(n) for n in placed.names), pa.array([data], pa.binary())], names=schema.names)
+
+    written.mapInArrow(code, schema).write.parquet(f"{path}/blocks")
+
+
+def ranks(spark: SparkSession, path: str) -> np.ndarray:
+    """The ids of the files in order of rank."""
+    found = spark.read.parquet(f"{path}/ranks").orderBy(F.desc("n"), "id").collect()
+    return np.array([r["id"] for r in found], np.uint32)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """A row for each document of the files: key, start (ids of all documents before it) and its packed ids with the end id."""
-    blocks = spark.read.parquet(path)
+    blocks, order = spark.read.parquet(f"{path}/blocks"), ranks(spark, path)
     # A row for each task that wrote: the driver has kept more than that of each already.
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     base, so_far = {}, 0
@@ -220,7 +270,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i] for n in ("part", "before", "data")}
-                lengths, found = decode_block(row["data"].as_py())
+                lengths, found = decode_block(row["data"].as_py(), order)
                 ids = found.tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths

@@ -65,6 +65,36 @@ def test_files(spark, tmp_path, monkeypatch):
     assert token_files.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_ranks_are_the_corpus_s(spark, tmp_path, monkeypatch):
+    """Blocks of other words share one table of ranks: the frequency order over all documents."""
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 50)
+    rows = [(i, "apple " * 9 + "river" if i < 20 else "river " * 11 + f"stone {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(few)
+    spark.conf.set(few, "8")
+    try:
+        token_files.write(df, f"{tmp_path}/t", PATH, end_id=1)
+    finally:
+        spark.conf.set(few, before)
+    words, n = token_files.load(PATH), {}
+    for _, text in rows:
+        for i in [*words.library.encode(text, add_special_tokens=False).ids, 1]:
+            n[i] = n.get(i, 0) + 1
+    order = token_files.ranks(spark, f"{tmp_path}/t")
+    assert order.tolist() == sorted(n, key=lambda i: (-n[i], i))
+    blocks = [bytes(r.data) for r in spark.read.parquet(f"{tmp_path}/t/blocks").collect()]
+    assert len(blocks) > 5 and all(token_files.HEAD.unpack_from(b)[1] == 0 for b in blocks)
+    assert sum(len(token_files.decode_block(b, order)[1]) for b in blocks) == sum(n.values())
+    with pytest.raises(ValueError):
+        token_files.decode_block(blocks[0])
+
+
+def test_wide_ids():
+    for ids in ([], [0, 65_535], [70_000, 3]):
+        assert token_files.unpack_ids(token_files.pack_ids(np.array(ids, np.uint32)), len(ids)).tolist() == ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 576 * 30, 576 * 31, 576 * 95 + 3, 200_000])
 def test_container(n):
     payload = media.padded(os.urandom(n))
