@@ -47,23 +47,31 @@ def prefixes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
 
 def maximal(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, n_turns, n_copies, n_snapshots of the conversations that no other one continues."""
+    """conv, n_turns, n_copies, n_snapshots of the conversations that no other one continues.
+
+    n_snapshots counts the conversations, copies included, that are proper prefixes of this one; a prefix of several counts for each.
+    """
     every = materialise(prefixes(df, conv, turn, role, text), "prefixes")
     name = ["place", "h1", "h2"]
     # Both sides are summed up by hash first, so a conversation or a first turn that is everywhere is one row of the join.
     whole = every.where("place = turns").groupBy(*name).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
     proper = every.where("place < turns").groupBy(*name).agg(F.count("*").alias("n_longer"))
     kept = whole.join(proper, name, "left_anti")
-    return kept.select("conv", F.col("place").cast("long").alias("n_turns"), "n_copies")
+    # Only prefixes that are somebody's whole conversation meet; a copy of a kept one isn't looked at again.
+    stops = whole.join(proper, name, "left_semi").select(*name, F.col("n_copies").alias("n"))
+    inside = every.where("place < turns").join(kept.select(F.col("conv").alias("of")), F.col("conv").eqNullSafe(F.col("of")), "left_semi")
+    absorbed = inside.join(stops, name).groupBy(F.col("conv").alias("of")).agg(F.sum("n").alias("n_snapshots"))
+    found = kept.join(absorbed, F.col("conv").eqNullSafe(F.col("of")), "left")
+    return found.select("conv", F.col("place").cast("long").alias("n_turns"), "n_copies", F.coalesce("n_snapshots", F.lit(0)).cast("long").alias("n_snapshots"))
 
 
 def render(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row for each maximal conversation: its identifier, n_turns, n_copies and the rendered chat."""
+    """A row for each maximal conversation: its identifier, n_turns, n_copies, n_snapshots and the rendered chat."""
     kept = maximal(df, conv, turn, role, text).withColumnRenamed("conv", "of")
     rows = df.select(
         col(conv).alias("conv"), col(turn).alias("turn"), F.coalesce(col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(col(text), F.lit("")).alias("text")
     ).join(kept, F.col("conv").eqNullSafe(F.col("of")))
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    chats = rows.groupBy("of", "n_turns", "n_copies").agg(turns.alias("turns"))
+    chats = rows.groupBy("of", "n_turns", "n_copies", "n_snapshots").agg(turns.alias("turns"))
     line = F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE)))
-    return chats.select(F.col("of").alias(conv), "n_turns", "n_copies", F.array_join(line, "").alias("chat"))
+    return chats.select(F.col("of").alias(conv), "n_turns", "n_copies", "n_snapshots", F.array_join(line, "").alias("chat"))

@@ -10,7 +10,8 @@ from quern.llm.common import documents
 
 
 def op1_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.render(documents(spark, sf_dir, "conversations")).withColumn("chat_sha256", F.sha2(F.col("chat").cast("binary"), 256))
+    # The SQL has no n_snapshots.
+    return chat.render(documents(spark, sf_dir, "conversations")).drop("n_snapshots").withColumn("chat_sha256", F.sha2(F.col("chat").cast("binary"), 256))
 
 
 SQL = r"""

@@ -161,3 +161,11 @@ def test_chat(spark):
     assert found[1][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
     assert found[6][2].startswith("<|im_start|>unknown\n")
     assert chat.render(df.limit(0)).count() == 0
+
+
+def test_snapshots_are_counted(spark):
+    turns = lambda conv, *texts: [(conv, i, "user", t) for i, t in enumerate(texts)]
+    rows = [*turns(1, "a", "b", "c"), *turns(2, "a"), *turns(3, "a"), *turns(4, "a", "b"), *turns(5, "a", "b", "c"), *turns(6, "a", "x"), *turns(None, "z", "y"), *turns(8, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv: (r.n_turns, r.n_copies, r.n_snapshots) for r in chat.maximal(df).collect()}
+    assert found == {1: (3, 2, 3), 6: (2, 1, 2), None: (2, 1, 1)}
