@@ -2,11 +2,11 @@
 
 `pack` stores a payload losslessly as 8-bit samples of a container: file type box, media data, and a movie box with the sample
 tables (times, sizes, chunks, chunk offsets, sync samples). `probe` walks the nested boxes of any such container, decodes the
-sample tables and gives codec, duration and the byte ranges of the keyframes without touching the payload. `unpack`
-reads the samples back through the tables.
+sample tables and gives codec, duration and the byte ranges of the keyframes of every track without touching the payload. `unpack`
+reads the samples of the first track back through the tables.
 
-Results: a null payload is stored as an empty one. A null container, or one that is cut or not made of boxes, gives null features and a text in
-`error`; `unpack` then gives null. Clashing column names are replaced.
+Results: a null payload is stored as an empty one. `tracks` has all tracks in order; the columns beside it are the first one's. A null
+container, or one that is cut, fragmented (its samples lie in movie fragments, which aren't decoded) or not made of boxes, gives null features and a text in `error`; `unpack` then gives null. Clashing column names are replaced.
 """
 
 from __future__ import annotations
@@ -153,6 +153,8 @@ def numbers(data: memoryview, start: int, end: int, head: int, width: int, kind:
 
 def walk(data: memoryview, start: int, end: int, tracks: list[Track], path: tuple[bytes, ...] = ()) -> None:
     for kind, at, stop in boxes(data, start, end):
+        if kind in (b"moof", b"mvex"):
+            raise Broken("fragmented")
         if kind == b"trak":
             tracks.append(Track())
         track = tracks[-1] if tracks else Track()
@@ -202,25 +204,30 @@ def tracks_of(container: bytes) -> list[Track]:
     return found
 
 
+def described(track: Track, size: int) -> dict:
+    """A track's features, in a container of `size` bytes."""
+    where = track.offsets()
+    sync = np.arange(len(where)) if track.sync is None else track.sync
+    if len(sync) and not 0 <= sync.min() <= sync.max() < len(where):
+        raise Broken("a keyframe past the samples")
+    length = track.sizes[sync]
+    if len(sync) and int((where[sync] + length).max()) > size:
+        raise Broken("a keyframe past the end")
+    ticks = int((track.times[:, 0] * track.times[:, 1]).sum()) or track.ticks
+    return {
+        "codec": track.codec, "handler": track.handler, "timescale": track.timescale, "duration": ticks / track.timescale if track.timescale else None,
+        "n_samples": len(where), "keyframes": [{"offset": a, "length": b} for a, b in zip(where[sync].tolist(), length.tolist(), strict=True)],
+    }
+
+
 def features(container: bytes | None) -> dict:
-    """Codec, handler, timescale, duration in seconds, samples and keyframe ranges of the first track."""
-    none = dict.fromkeys(("codec", "handler", "timescale", "duration", "n_samples", "keyframes"))
+    """Codec, handler, timescale, duration in seconds, samples and keyframe ranges of the first track, and `tracks` with those of each."""
+    none = dict.fromkeys(("codec", "handler", "timescale", "duration", "n_samples", "keyframes", "tracks"))
     if container is None:
         return none | {"error": "null"}
     try:
-        track = tracks_of(container)[0]
-        where = track.offsets()
-        sync = np.arange(len(where)) if track.sync is None else track.sync
-        if len(sync) and not 0 <= sync.min() <= sync.max() < len(where):
-            raise Broken("a keyframe past the samples")
-        size = track.sizes[sync]
-        if len(sync) and int((where[sync] + size).max()) > len(container):
-            raise Broken("a keyframe past the end")
-        ticks = int((track.times[:, 0] * track.times[:, 1]).sum()) or track.ticks
-        return {
-            "codec": track.codec, "handler": track.handler, "timescale": track.timescale, "duration": ticks / track.timescale if track.timescale else None,
-            "n_samples": len(where), "keyframes": [{"offset": a, "length": b} for a, b in zip(where[sync].tolist(), size.tolist(), strict=True)], "error": None,
-        }
+        tracks = [described(t, len(container)) for t in tracks_of(container)]
+        return {**tracks[0], "tracks": tracks, "error": None}
     except (Broken, struct.error, ValueError, OverflowError, RecursionError) as e:
         return none | {"error": str(e)}
 
@@ -255,18 +262,24 @@ def pack(df: DataFrame, content: str, media: str = "media", drop: bool = False)
     return append_columns(df, f"`{media}` binary", compute, (content,) if drop else ())
 
 
-#: Columns of `probe`.
-FEATURES = "codec string, handler string, timescale long, duration double, n_samples long, keyframes array<struct<offset:long,length:long>>, error string"
+#: What `probe` tells of a track, and its columns.
+TRACK = {
+    "codec": ("string", pa.string()), "handler": ("string", pa.string()), "timescale": ("long", pa.int64()), "duration": ("double", pa.float64()), "n_samples": ("long", pa.int64()),
+    "keyframes": ("array<struct<offset:long,length:long>>", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))),
+}
+COLUMNS = TRACK | {
+    "tracks": (f"array<struct<{','.join(f'{n}:{k}' for n, (k, _) in TRACK.items())}>>", pa.list_(pa.struct([(n, k) for n, (_, k) in TRACK.items()]))),
+    "error": ("string", pa.string()),
+}
+FEATURES = ", ".join(f"{n} {k}" for n, (k, _) in COLUMNS.items())
 
 
 def probe(df: DataFrame, media: str = "media") -> DataFrame:
     """`df` with the features of each container."""
-    names = [x.split()[0] for x in FEATURES.replace("array<struct<offset:long,length:long>>", "array").split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.string()]
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         found = [features(x) for x in part.column(media).to_pylist()]
-        return [pa.array([f[n] for f in found], k) for n, k in zip(names, kinds, strict=True)]
+        return [pa.array([f[n] for f in found], k) for n, (_, k) in COLUMNS.items()]
 
     return append_columns(df, FEATURES, compute)
 

@@ -149,6 +149,25 @@ def test_media_frames(spark):
     assert media.probe(spark.createDataFrame([(None,), (b"junk",)], "media binary")).where("error is null").count() == 0
 
 
+def test_every_track(spark):
+    box = media.pack_payload(media.padded(b"abc" * 900))
+    at = box.index(b"moov") - 4
+    trak = box[box.index(b"trak") - 4 :]
+    two = box[:at] + media.box(b"moov", box[at + 8 :], trak.replace(b"soun", b"vide").replace(b"raw ", b"avc1"))
+    r = media.probe(spark.createDataFrame([(two,)], "media binary")).first()
+    assert [(t.handler, t.codec, t.n_samples) for t in r.tracks] == [("soun", "raw ", 5), ("vide", "avc1", 5)] and r.error is None
+    assert (r.handler, r.keyframes) == ("soun", r.tracks[0].keyframes) and len(r.tracks[1].keyframes) == 1
+
+
+@pytest.mark.parametrize("parts", [("mvex",), ("moof",)])
+def test_fragmented_says_so(parts):
+    box = media.pack_payload(media.padded(b"abc"))
+    at = box.index(b"moov") - 4
+    more = box[:at] + media.box(b"moov", box[at + 8 :], media.box(b"mvex")) if parts == ("mvex",) else box + media.box(b"moof", media.box(b"traf"))
+    f = media.features(more)
+    assert (f["error"], f["n_samples"], media.read_payload(more)) == ("fragmented", None, None)
+
+
 def test_fixity(spark):
     from pyspark.sql import functions as F
 
