@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -42,3 +46,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("gone", [("quern/llm", "tests/llm"), ("quern/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_without_the_training_data_operators(tmp_path, gone):
+    root = Path(__file__).resolve().parent.parent
+    skip = shutil.ignore_patterns(".git", "__pycache__", "*.json", "*.md")
+    copy = Path(shutil.copytree(root, tmp_path / "copy", ignore=skip))
+    for name in gone:
+        if (copy / name).exists():
+            (shutil.rmtree if (copy / name).is_dir() else os.remove)(copy / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len([n for n in q if not n.startswith(('op', 'pipeline'))]), 'pipeline' in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(QUERIES)), "False"]
