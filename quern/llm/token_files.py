@@ -7,22 +7,21 @@ and a run of value bytes; the one table of ranks lies beside the blocks. `read`
 bytes of its four values were kept, the value bytes fill these, and the ranks look up the ids. Blocks are rows of a Parquet table, so any
 store that Spark can write holds them and a lost task leaves no half of a file.
 
-Texts are cut at blanks and line feeds, which the library's normaliser and splitter never look across. Each distinct piece is cut
-into the splitter's own matches, and each distinct word of these is encoded once by the library. A piece that isn't plain
-Latin script in composed form goes to the library as it is.
+Plain texts (Latin script in composed form) are cut into the splitter's own matches by the kinds of their bytes, in numpy, and each
+distinct match is encoded once by the library. Other texts are cut at blanks and line feeds, which the library's normaliser and splitter
+never look across; their pieces that aren't plain go to the library as they are.
 
 Results: a null text counts as empty; a null key comes first; rows with equal keys are ordered by text; an empty table gives an
-empty file set.
+empty file set. A text of any length is one row; a block is closed behind it. Other columns of the table aren't looked at, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +38,14 @@ BLOCK_IDS, WORDS = 2_000_000, 900_000
 #: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
 HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
-#: The splitter's pattern over lower-case text, for plain Latin script.
-WORD = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
 #: Whatever isn't ASCII text, a Latin letter that is its own composed form, or common punctuation.
-OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u012f\u0132-\u017e\u2010-\u201e\u2026]")
+OTHER = "[^\t\n\r\x20-\x7e\u00c0-\u012f\u0132-\u017e\u2010-\u201e\u2026]"
+#: Kinds of bytes of plain texts in lower case: the splitter matches runs of letters, single digits and runs of whatever else isn't
+#: blank. Bytes from 128 on count as letters; `matches` mends those that are punctuation.
+BLANK, LETTER, DIGIT, MARK = range(4)
+KINDS = np.array([BLANK if c in b"\t\n\r " else LETTER if c >= 128 or chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK for c in range(256)], np.uint8)
+#: What the splitter parts from a word behind an apostrophe.
+SHORT, LONG = b"stmd", (b"re", b"ve", b"ll")
 #: Which of the sixteen bytes of its four values each control byte keeps, from the rule of two bits a value.
 KEPT = np.array([[k <= c >> 2 * i & 3 for i in range(4) for k in range(4)] for c in range(256)], bool)
 
@@ -104,55 +107,118 @@ def unpack_ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2")
 
 
+def is_odd(column: pa.Array) -> np.ndarray:
+    """Which texts the library has to see: not plain Latin script in composed form, or perhaps with an added token."""
+    return pc.or_(pc.match_substring_regex(column, OTHER), pc.match_substring(column, "<|")).to_numpy(zero_copy_only=False)
+
+
+def matches(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The splitter's matches in plain texts, in lower case and one after the other, and how many lie before each text and the end."""
+    low = pc.utf8_lower(column)
+    edges = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, 4 * low.offset).astype(np.int64)
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges -= edges[0]
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    kind = KINDS[data]
+    three = np.flatnonzero(data == 0xE2)  # dashes, quotes, ellipsis
+    for i in range(3):
+        kind[three + i] = MARK
+    two = np.flatnonzero(data == 0xC3)
+    two = two[(padded[two + 1] == 0x97) | (padded[two + 1] == 0xB7)]  # multiplication and division signs
+    kind[two] = kind[two + 1] = MARK
+    first = np.zeros(n + 3, bool)  # of a text
+    first[edges] = True
+    begins = first[:n] | (kind == DIGIT)
+    begins[1:] |= kind[1:] != kind[:-1]
+    # An apostrophe alone before letters takes some of them with it.
+    at = np.flatnonzero(data == ord("'"))
+    at = at[begins[at]]
+    at = at[~first[at + 1]]
+    at = at[kind[at + 1] == LETTER]
+    one, other = padded[at + 1], padded[at + 2]
+    pair = np.zeros(len(at), bool)
+    for a, b in LONG:
+        pair |= (one == a) & (other == b)
+    pair &= ~first[at + 2]
+    taken = np.isin(one, np.frombuffer(SHORT, np.uint8)) | pair
+    at, behind = at[taken], at[taken] + 2 + pair[taken]
+    begins[at + 1] = False
+    behind = behind[behind < n]
+    begins[behind] = True
+    solid = kind != BLANK
+    begins &= solid
+    starts = np.flatnonzero(begins)
+    offsets = np.append(np.flatnonzero(begins[solid]), np.count_nonzero(solid)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
+    return words, np.searchsorted(starts, edges)
+
+
+def joined(packed: list[bytes], indices: pa.Array, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the parts that `indices` names among `packed`, and how many lie between neighbours of `before`."""
+    every = np.frombuffer(b"".join(packed), "<u4")
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    starts = np.cumsum(sizes) - sizes
+    at = indices.to_numpy(zero_copy_only=False)
+    counts = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    found = every[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+    return found, np.diff(ends[before])
+
+
 class Words(dict):
-    """Packed ids of words."""
+    """Packed ids of words, by their bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.before: dict[str, bytes] = {}  # the generation before: what is used again moves on
+        self.before: dict[bytes, bytes] = {}  # the generation before: what is used again moves on
         tokens = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(tokens.values()) + 1, bool)  # ids that end a word
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts of a column one after the other, and how many each text has. Pieces are parted and numbered in
-        Arrow, so Python meets each distinct one once a slice."""
-        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
-        coded = cut.flatten().dictionary_encode()
-        packed = self._packed(coded.dictionary.to_pylist())
-        every = np.frombuffer(b"".join(packed), "<u4")
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        starts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        found = every[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
-        return found, np.diff(ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
+        """The ids of all texts of a column one after the other, and how many each text has."""
+        column = pc.fill_null(column, "")
+        odd = is_odd(column)
+        if not odd.any():
+            return self._plain(column)
+        sides = self._plain(column.filter(pa.array(~odd))), self._odd(column.filter(pa.array(odd)))
+        counts = np.zeros(len(column), np.int64)
+        counts[~odd], counts[odd] = sides[0][1], sides[1][1]
+        found, where = np.empty(int(counts.sum()), np.uint32), np.repeat(odd, counts)
+        found[~where], found[where] = sides[0][0], sides[1][0]
+        return found, counts
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The packed ids of texts."""
         found, lengths = self.ids(pa.array(batch, pa.string()))
         return [x.astype("<u4").tobytes() for x in np.split(found, np.cumsum(lengths)[:-1])] if batch else []
 
-    def _packed(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 20_000):
-            some = pieces[at : at + 20_000]
-            cut = [(p.lower(),) if p.isalpha() else (p[:-1].lower(), p[-1]) if p[:-1].isalpha() and p[-1] > " " else WORD.findall(p.lower()) for p in some]
-            odd = [i for i, p in enumerate(some) if OTHER.search(p) or "<|" in p]
-            for i in odd:
-                cut[i] = ()
-            self._learn(set(chain.from_iterable(cut)))
-            packed = [self[w[0]] if len(w) == 1 else b"".join([self[x] for x in w]) for w in cut]
-            for i, found in zip(odd, self.library.encode_batch([some[i] for i in odd], add_special_tokens=False), strict=True):
-                packed[i] = np.array(found.ids, "<u4").tobytes()
-            out += packed
-        return out
-
-    def _learn(self, words: set[str]) -> None:
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`ids` of plain texts: Python meets each distinct word once a slice."""
+        words, before = matches(column)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(set(distinct))
+        return joined(list(map(self.__getitem__, distinct)), coded.indices, before)
+
+    def _odd(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`ids` of texts with pieces that are left to the library; the other pieces are plain texts."""
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        odd = is_odd(coded.dictionary)
+        found, counts = self._plain(coded.dictionary.filter(pa.array(~odd)))
+        packed = np.empty(len(odd), object)
+        ends = np.cumsum(counts)
+        packed[~odd] = [found[a:b].astype("<u4").tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+        left = self.library.encode_batch(coded.dictionary.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)
+        packed[odd] = [np.array(x.ids, "<u4").tobytes() for x in left]
+        return joined(packed.tolist(), coded.indices, cut.offsets.to_numpy() - cut.offsets[0].as_py())
+
+    def _learn(self, words: set[bytes]) -> None:
         if len(self) + len(words) > WORDS // 2:
             self.before = dict(self)
             self.clear()
@@ -161,9 +227,9 @@ class Words(dict):
             self.update(zip(again, map(self.before.__getitem__, again), strict=True))
             fresh -= again
         fresh = list(fresh)
-        for at in range(0, len(fresh), 2000):
-            some = fresh[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(fresh), 200):
+            some = fresh[at : at + 200]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             packed, start = ids.tobytes(), 0
             for word, stop in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
                 self[word] = packed[start:stop]

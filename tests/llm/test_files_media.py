@@ -40,6 +40,31 @@ def test_words_are_the_library(text):
     assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == words.library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZsStTrReEvVlLdDm''  \n\t\r1_-!é×÷ŸÉ…—’日İ\u0301<|"), max_size=20), min_size=1, max_size=12))
+def test_plain_and_odd_texts_in_one_batch(texts):
+    words = token_files.load(PATH)
+    expected = [e.ids for e in words.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == expected
+
+
+def test_the_query_is_the_library(spark):
+    """The digests of op6 on a whole table, by plain Python."""
+    import zlib
+
+    import pandas as pd
+
+    from quern.llm.q_token_files import op6_token_files
+
+    library, start, expected = token_files.load(PATH).library, 0, []
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").sort_values("doc_id")
+    for key, text in zip(docs.doc_id, docs.text, strict=True):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        expected.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in op6_token_files(spark, "/root/testdata/sf0.001").collect()) == expected
+
+
 def test_words_at_any_memory(monkeypatch):
     words = token_files.Words(PATH)
     monkeypatch.setattr(token_files, "WORDS", 20)
