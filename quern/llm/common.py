@@ -67,19 +67,24 @@ def texts(part: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set a local
+    session gets one of its own; a cluster gets an error, as a folder of the driver's machine is another one on each executor."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quern-shared-"))
     return _own[0]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -88,13 +93,34 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def _clean() -> None:
+    spark = SparkSession.getActiveSession() if _written else None
+    while spark and _written:
+        delete(spark, _written.pop())
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted at the end of the session or of the `settled` that it is taken in."""
+    _written.append(f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage ends there, whatever executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What `make` returns, materialised; the tables that were written on the way to it are deleted."""
+    before = len(_written)
+    out = materialise(make(), tag)
+    for path in _written[before:-1]:
+        delete(out.sparkSession, path)
+    del _written[before:-1]
+    return out
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import token_files
-from quern.llm.common import _delete, documents, shared_dir
+from quern.llm.common import documents, scratch
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/quern-tokens-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    path = scratch(spark, "tokens")
     token_files.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.read(spark, path).select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
