@@ -5,8 +5,7 @@ exclusive-or of two 64-bit hashes of place, role and text. A conversation whose
 snapshot of it; an anti-join on the hash keeps the others, and of equal ones the one with the least identifier. Only
 those are rendered.
 
-Results: turns are rendered in order of `turn`, then role and text, and hashed in order of `turn`, role and a hash of the text;
-repeated rows are turns of their own. A null role is rendered as
+Results: turns are rendered and hashed in order of `turn`, then role and text; repeated rows are turns of their own. A null role is rendered as
 `unknown`, a null text as empty; null and empty differ as little in the hash. A null identifier is a conversation of its own.
 An empty table gives no rows. Conversations have a turn at least, as they are made of rows. Other columns aren't returned.
 """
@@ -25,16 +24,17 @@ UNKNOWN = "unknown"
 
 
 def prefixes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, place (from 1), turns, and the rolling hashes h1 and h2 of the prefix that ends there. Texts aren't carried."""
+    """conv, place (from 1), turns, and the rolling hashes h1 and h2 of the prefix that ends there."""
     rows = df.select(
         col(conv).alias("conv"),
         col(turn).alias("turn"),
         F.coalesce(col(role), F.lit(UNKNOWN)).alias("role"),
+        F.coalesce(col(text), F.lit("")).alias("text"),
         F.xxhash64(F.coalesce(col(role), F.lit(UNKNOWN)), F.coalesce(col(text), F.lit(""))).alias("a"),
         F.xxhash64(F.lit("second"), F.coalesce(col(text), F.lit("")), F.coalesce(col(role), F.lit(UNKNOWN))).alias("b"),
     )
     own = Window.partitionBy("conv")
-    order = own.orderBy("turn", "role", "a", "b")
+    order = own.orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("turns", F.count("*").over(own))
     return rows.select(

@@ -169,3 +169,15 @@ def test_snapshots_are_counted(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = {r.conv: (r.n_turns, r.n_copies, r.n_snapshots) for r in chat.maximal(df).collect()}
     assert found == {1: (3, 2, 3), 6: (2, 1, 2), None: (2, 1, 1)}
+
+
+def test_turns_at_one_place_are_ordered_by_text(spark):
+    """A conversation of the first of two tied turns is a snapshot, one of the second is not."""
+    random.seed(11)
+    rows, kept = [], set()
+    for i in range(0, 80, 4):
+        a, b = sorted(random.sample(range(10_000), 2), key=str)
+        rows += [(i, 0, "user", f"{a}"), (i + 1, 0, "user", f"{b}"), (i + 1, 0, "user", f"{a}"), (i + 2, 0, "user", f"{b}")]
+        kept |= {i + 1, i + 2}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.conv for r in chat.maximal(df).collect()} == kept
