@@ -25,6 +25,43 @@ def test_tries_at_any_budget(budget):
     assert len(found) == len(expected) and {b: (o, n) for b, o, n in found} == expected
 
 
+@pytest.mark.parametrize("part", [0, 3000, 4090])
+def test_texts_of_one_length_spill(part):
+    """What is held stays within the budget, however many texts share their length and `part` bytes in front."""
+    budget, most = 1 << 20, 0
+    tries, random_bytes = exact_dedup.Tries(max, budget), random.Random(part).randbytes
+    bodies = [b"p" * part + random_bytes(4096 - part) for _ in range(4000)]
+    for i, body in enumerate(bodies):
+        tries.insert(body, i, 1)
+        most = max(most, tries.bytes)
+    assert most <= budget + 5000
+    assert {b: o for b, o, _ in tries.finish()} == {b: i for i, b in enumerate(bodies)}
+
+
+def test_common_texts_find_their_owner(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    rows = [(i, "everywhere" if i % 3 == 0 else "often" if i % 3 == 1 else f"text {i // 6}") for i in range(300)] + [(None, "everywhere")]
+    found = exact_dedup.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = {}
+    for i, t in rows:
+        classes.setdefault(t, []).append(i)
+    expected = [(i, t, max(x for x in classes[t] if x is not None), len(classes[t])) for i, t in rows]
+    assert sorted([(r.doc_id, r.text, r.keep_id, r.group_size) for r in found], key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("budget", [48 << 20, 2000])
+def test_representatives(spark, monkeypatch, budget):
+    """One whole row a text: of the largest id, and of its rows the least."""
+    monkeypatch.setattr(exact_dedup, "BUDGET", budget)
+    rows = [(1, "Same", "b"), (2, "sAME", "b"), (2, "Same", None), (2, "Same", "a"), (None, "same", "a"), (3, None, "x"), (4, "", "x"), (None, "alone", None), (5, "Ä", "x"), (6, "ä", "x"), (7, "q" * 9000, "x")]
+    rows += [(i, f"text {i % 40} of many", "x") for i in range(100, 300)]
+    found = exact_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)).collect()
+    expected = {("Same", 2, "a"), ("", 4, "x"), ("alone", None, None), ("Ä", 5, "x"), ("ä", 6, "x"), ("q" * 9000, 7, "x"), *((f"text {i % 40} of many", i, "x") for i in range(260, 300))}
+    assert len(found) == len(expected) and {(r.text, r.doc_id, r.kept) for r in found} == expected
+    none = spark.createDataFrame([], "doc_id long, text string, kept string")
+    assert exact_dedup.representatives(none).count() == 0
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact(spark, keep):
     texts = [(1, "Same"), (2, "sAME"), (3, "same "), (4, None), (5, ""), (6, "ÄÖ"), (7, "äÖ"), (8, "x" * 100_000), (9, "X" * 100_000), (3, "same "), (None, "same")]
