@@ -193,18 +193,66 @@ def test_fragmented_says_so(parts):
     assert (f["error"], f["n_samples"], media.read_payload(more)) == ("fragmented", None, None)
 
 
+def archive(spark, rows):
+    """Leaves, and by plain Python (key, digest) -> the records' numbers and ranges."""
+    import hashlib
+
+    leaf = warc.leaves(spark.createDataFrame([(*r, "z") for r in rows], "key long, bytes binary, node string").repartition(3))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1]).hexdigest()))
+    at, places = 0, {}
+    for no, (key, body) in enumerate(order):
+        places.setdefault((key, hashlib.sha256(body).hexdigest()), []).append((no, at, at + len(body)))
+        at += len(body)
+    return leaf, places
+
+
+def differing(a, b):
+    """By plain Python: a row for each record that one side has more of; the only ones of a key on both sides are one row."""
+    rest = {}
+    for side, (one, other) in enumerate(((a, b), (b, a))):
+        for (key, sha), places in one.items():
+            for place in places[len(other.get((key, sha), ())) :]:
+                rest.setdefault(key, ([], []))[side].append((*place, sha))
+    none, out = (None,) * 4, []
+    for key, (x, y) in rest.items():
+        if len(x) <= 1 and len(y) <= 1:
+            out.append((key, *(x or [none])[0], *(y or [none])[0]))
+        else:
+            out += [(key, *r, *none) for r in x] + [(key, *none, *r) for r in y]
+    return out
+
+
 def test_fixity(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(i, f"http://x/{i}", "b" * (i % 50)) for i in range(700)] + [(None, None, None), (5, "http://x/5", "b" * 5)], "key long, url string, body string")
-    whole = df.select("key", warc.record(F.col("key"), F.col("url"), F.col("body")).alias("bytes"), F.lit(1).alias("node")).repartition(3)
-    bad = F.col("key").isin(17, 333, 699)
-    hurt = whole.withColumn("bytes", F.when(bad, F.expr("overlay(bytes PLACING X'00' FROM 5)")).otherwise(F.col("bytes")))
-    found = warc.audit(warc.leaves(whole), warc.leaves(hurt)).orderBy("record_no").collect()
-    assert [r.key for r in found] == [17, 333, 699]
-    sizes = {r.node: r.stop - r.start for r in warc.leaves(whole).collect()}
-    assert [r.range_start for r in found] == [sum(sizes[k] for k in range(r.record_no)) for r in found]
-    assert warc.audit(warc.leaves(whole), warc.leaves(whole)).count() == 0
-    short = warc.audit(warc.leaves(whole), warc.leaves(whole.where("key is null or key < 690"))).collect()
-    assert sorted(r.key for r in short) == list(range(690, 700)) and all(r.sha256_b is None for r in short)
-    assert warc.audit(warc.leaves(whole.limit(0)), warc.leaves(whole.limit(0))).count() == 0
+    """One record lost, one gained, one longer and one changed, each in the middle, are a row each; so are copies of equal records."""
+    whole = [(i, b"body %d " % i * (i % 9)) for i in range(700)] + [(None, b""), (None, b"x"), (5, b"body 5 " * 5), *[(300, b"same")] * 40]
+    changed = {77: b"other", 200: b"body 200 " * 300}
+    hurt = [(k, changed.get(k, body)) for k, body in whole if k != 350] + [(120, b"gained"), (9_000, b"new at the end")]
+    hurt.remove((300, b"same"))
+    hurt.remove((None, b"x"))
+    (a, in_a), (b, in_b) = archive(spark, whole), archive(spark, hurt)
+    text = lambda rows: sorted(map(str, rows))
+    found = [tuple(r) for r in warc.audit(a, b).collect()]
+    assert text(found) == text(differing(in_a, in_b)) and len(found) == 7
+    assert warc.audit(a, a).count() == 0
+    none = warc.leaves(spark.createDataFrame([], "key long, bytes binary"))
+    assert warc.audit(none, none).count() == 0
+    assert warc.audit(a, none).count() == len(whole)
+
+
+def test_fixity_of_repeated_keys(spark):
+    """A key with most of the rows, null among them: its records are compared one by one."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 3 else int(rng.integers(5)), bytes(rng.integers(0, 4, 4, dtype=np.uint8))) for i in range(900)]
+    hurt = rows[:400] + rows[403:] + [(None, b"more"), (2, b"more"), (2, b"more")]
+    (a, in_a), (b, in_b) = archive(spark, rows), archive(spark, hurt)
+    assert sorted(map(str, map(tuple, warc.audit(a, b).collect()))) == sorted(map(str, differing(in_a, in_b)))
+
+
+def test_descent_follows_the_damage(spark):
+    """Nodes of two archives that differ in one record: all but those above it have the same name and digest."""
+    rows = [(i, b"r%d" % i) for i in range(3000)]
+    one, other = (warc.tree(archive(spark, x)[0], 3) for x in (rows, rows[:1500] + rows[1501:]))
+    for k in (1, 2, 3):
+        names = [{(r[f"up{k}"], r["sum"]) for r in t[k].collect()} for t in (one, other)]
+        assert len(names[0] - names[1]) <= 2 and len(names[1] - names[0]) <= 2
+        assert k > 1 or len(names[0]) > 100
