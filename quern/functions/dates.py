@@ -28,60 +28,91 @@ def number(c: Column) -> Column:
 
 def detect(text: Column) -> Column:
     """The name of the first format that fits, `Unknown` if none does."""
-    return let(trim(text), lambda s: let(F.struct(s.alias("s"), F.upper(s).alias("u"), F.lower(s).alias("l")), lambda x: _detect(x["s"], x["u"], x["l"])))
+    return let(trim(text), _form)
+
+
+def _form(s: Column) -> Column:
+    """`detect` of a trimmed text. What the text is made of comes first and spares most texts most patterns."""
+    letters = s.rlike("[A-Za-z]")
+    made = F.struct(
+        s.alias("s"),
+        letters.alias("letters"),
+        F.when(letters, F.upper(s)).otherwise(s).alias("u"),
+        (~letters & s.rlike("^[0-9]+$")).alias("digits"),
+        F.length(s).alias("size"),
+        F.when(has(s, "/"), F.split(s, "/")).alias("slash"),
+        F.when(has(s, "."), F.split(s, r"\.")).alias("dot"),
+        F.when(has(s, "-"), F.split(s, "-")).alias("dash"),
+    )
+    return let(made, lambda x: F.when(x["s"].isNull() | (x["s"] == ""), "Unknown").when(x["digits"], _of_digits(x["s"], x["size"])).otherwise(_of_others(x)))
 
 
-def _detect(s: Column, u: Column, low: Column) -> Column:
-    part = lambda a, n: number(F.substring(s, a, n))
-    digits = s.rlike("^[0-9]+$")
-    size = F.length(s)
-    in_year = part(1, 4).between(1900, 9999) & part(5, 2).between(1, 12)
-    ascii_ = s.rlike(r"^[\x00-\x7F]*$")
-    slash = F.split(s, "/")
-    dot = F.split(s, r"\.")
-    dash = F.split(s, "-")
-    u32 = lambda c: F.when(c.rlike(r"^\+?[0-9]{1,10}$"), number(c))
-    a, b = u32(F.get(slash, 0)), u32(F.get(slash, 1))
-    p, q, r = (u32(F.get(dot, i)) for i in range(3))
-    x, y, z = (u32(F.get(dash, i)) for i in range(3))
-    order = lambda m, n: F.when(m > 12, "EuDate").when(n > 12, "UsDate").otherwise("Ambiguous")
-    digit = s.rlike("[0-9]")
+def _in_year(s: Column) -> Column:
+    return number(F.substring(s, 1, 4)).between(1900, 9999) & number(F.substring(s, 5, 2)).between(1, 12)
+
+
+def _of_digits(s: Column, size: Column) -> Column:
     n = number(s)
     return (
-        F.when(s.isNull() | (s == ""), "Unknown")
-        .when(s.rlike(r"://|www\.|@|\\|^/"), "Unknown")
-        .when(u.rlike("^(ABT|ABOUT|EST|CAL) ") | s.rlike("^(circa|CIRCA) "), "GedcomApprox")
-        .when(u.rlike("^(BET|BETWEEN) "), "GedcomRange")
-        .when(u.rlike("^(FROM|TO) "), "GedcomPeriod")
-        .when(u.rlike("^(BEF|BEFORE|AFT|AFTER) "), "GedcomBeforeAfter")
-        .when(u.startswith("INT "), "GedcomInterpreted")
-        .when(digits & (size == 8) & in_year & part(7, 2).between(1, 31), "Hl7Date")
-        .when(s.rlike("^[0-9]{14}") & in_year, "Hl7Date")
-        .when(s.startswith("c. "), "GedcomApprox")
-        .when(ascii_ & (size >= 19) & (has(s, "T") | s.rlike(r"^[\s\S]{10} [0-9]")) & s.rlike("[-:]"), "Iso8601")
-        .when(ascii_ & s.rlike(r"^[\s\S]{4}-[\s\S]{2}-[\s\S]{2}$"), "IsoDate")
-        .when(s.rlike(WEEK), "IsoWeekDate")
-        .when(digits & (size == 4), "YearOnly")
-        .when(digits & (size == 13) & (n > 946_684_800_000) & (n < 4_200_000_000_000), "UnixMillis")
-        .when(digits & size.isin(9, 10) & (n > 946_684_800) & (n < 4_200_000_000), "UnixSeconds")
-        .when((F.size(slash) == 3) & a.isNotNull() & b.isNotNull(), order(a, b))
-        .when((F.size(dot) == 3) & ~has(s, "..") & r.isNotNull() & p.between(1, 31) & q.between(1, 12) & (F.octet_length(F.get(dot, 2)) >= 4), "EuDate")
-        .when((F.size(dot) == 3) & ~has(s, "..") & (F.octet_length(F.get(dot, 0)) == 4) & (p >= 1900) & q.between(1, 12) & r.between(1, 31), "IsoDate")
-        .when(
-            ~s.rlike("[T:]") & (F.size(dash) == 3) & (F.octet_length(F.get(dash, 0)) <= 2) & (F.octet_length(F.get(dash, 1)) <= 2)
-            & (F.octet_length(F.get(dash, 2)) == 4) & x.isNotNull() & y.isNotNull() & (z >= 1900),
-            order(x, y),
-        )
-        .when(digit & low.rlike(WORD.format("|".join(MONTHS))), "LongDate")
-        .when(digit & low.rlike(WORD.format("|".join(SHORT))), "AbbrevDate")
-        .when(digit & low.rlike(WORD.format("am|pm")), "Time12")
-        .when(s.rlike(TIME24), "Time24")
+        F.when((size == 8) & _in_year(s) & number(F.substring(s, 7, 2)).between(1, 31), "Hl7Date")
+        .when((size >= 14) & _in_year(s), "Hl7Date")
+        .when(size == 4, "YearOnly")
+        .when((size == 13) & (n > 946_684_800_000) & (n < 4_200_000_000_000), "UnixMillis")
+        .when(size.isin(9, 10) & (n > 946_684_800) & (n < 4_200_000_000), "UnixSeconds")
         .otherwise("Unknown")
+    )
+
+
+def _of_others(x: Column) -> Column:
+    s, u, letters, size, slash, dot, dash = (x[k] for k in ("s", "u", "letters", "size", "slash", "dot", "dash"))
+    u32 = lambda c: F.when(c.rlike(r"^\+?[0-9]{1,10}$"), number(c))
+    order = lambda m, n: F.when(m > 12, "EuDate").when(n > 12, "UsDate").otherwise("Ambiguous")
+    ascii_ = s.rlike(r"^[\x00-\x7F]*$")
+    ambiguous = let(F.struct(u32(F.get(slash, 0)).alias("a"), u32(F.get(slash, 1)).alias("b")), lambda y: F.when(y["a"].isNotNull() & y["b"].isNotNull(), order(y["a"], y["b"])))
+    octets = lambda c, i: F.octet_length(F.get(c, i))
+
+    def pointed(y: Column) -> Column:
+        p, q, r = y["p"], y["q"], y["r"]
+        return F.when(r.isNotNull() & p.between(1, 31) & q.between(1, 12) & (octets(dot, 2) >= 4), "EuDate").when((octets(dot, 0) == 4) & (p >= 1900) & q.between(1, 12) & r.between(1, 31), "IsoDate")
+
+    three = lambda c: F.struct(*(u32(F.get(c, i)).alias(n) for i, n in enumerate("pqr")))
+    dashed = let(three(dash), lambda y: F.when(y["p"].isNotNull() & y["q"].isNotNull() & (y["r"] >= 1900), order(y["p"], y["q"])))
+    low = F.lower(s)
+    digit = s.rlike("[0-9]")
+    words = F.when(letters & digit, (
+        F.when(low.rlike(WORD.format("|".join(MONTHS))), "LongDate")
+        .when(low.rlike(WORD.format("|".join(SHORT))), "AbbrevDate")
+        .when(low.rlike(WORD.format("am|pm")), "Time12")
+    ))
+    return F.coalesce(
+        F.when(s.rlike(r"://|www\.|@|\\|^/"), "Unknown"),
+        F.when(letters & s.rlike("^[A-Za-z]"), (
+            F.when(u.rlike("^(ABT|ABOUT|EST|CAL) ") | s.rlike("^(circa|CIRCA) "), "GedcomApprox")
+            .when(u.rlike("^(BET|BETWEEN) "), "GedcomRange")
+            .when(u.rlike("^(FROM|TO) "), "GedcomPeriod")
+            .when(u.rlike("^(BEF|BEFORE|AFT|AFTER) "), "GedcomBeforeAfter")
+            .when(u.startswith("INT "), "GedcomInterpreted")
+            .when(s.startswith("c. "), "GedcomApprox")
+        )),
+        F.when((size > 14) & s.rlike("^[0-9]{14}") & _in_year(s), "Hl7Date"),
+        F.when((size >= 19) & (has(s, "T") | s.rlike(r"^[\s\S]{10} [0-9]")) & s.rlike("[-:]") & ascii_, "Iso8601"),
+        F.when((size == 10) & (F.size(dash) >= 3) & s.rlike(r"^[\s\S]{4}-[\s\S]{2}-[\s\S]{2}$") & ascii_, "IsoDate"),
+        F.when(letters & has(s, "W") & s.rlike(WEEK), "IsoWeekDate"),
+        F.when(F.size(slash) == 3, ambiguous),
+        F.when((F.size(dot) == 3) & ~has(s, ".."), let(three(dot), pointed)),
+        F.when((F.size(dash) == 3) & (octets(dash, 0) <= 2) & (octets(dash, 1) <= 2) & (octets(dash, 2) == 4) & ~s.rlike("[T:]"), dashed),
+        words,
+        F.when(has(s, ":") & s.rlike(TIME24), "Time24"),
+        F.lit("Unknown"),
     )
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     """A calendar date as text, NULL if there is no such day."""
+    return let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), lambda x: _date(x["y"], x["m"], x["d"]))
+
+
+def _date(y: Column, m: Column, d: Column) -> Column:
     text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
@@ -119,34 +150,51 @@ def week_iso(s: Column) -> Column:
 def to_iso(text: Column, day_first: Column | bool = False) -> Column:
     """The text as ISO 8601, NULL for formats without a calendar date and for days that don't exist."""
     first = F.lit(day_first) if isinstance(day_first, bool) else day_first
-    return let(trim(text), lambda s: let(F.struct(s.alias("s"), detect(s).alias("f")), lambda x: _to_iso(x["s"], x["f"], first)))
+    return let(trim(text), lambda s: let(F.struct(s.alias("s"), _form(s).alias("f")), lambda x: _to_iso(x["s"], x["f"], first)))
 
 
 def _to_iso(s: Column, f: Column, day_first: Column) -> Column:
-    slashed = lambda *seps: F.coalesce(*(F.when(has(s, c), F.split(s, c if c != "." else r"\.")) for c in seps), F.split(s, "-"))
     u32 = lambda c: F.when(c.rlike(r"^\+?[0-9]{1,9}$"), number(c))
-    us, eu = slashed("/"), slashed(".", "/")
-    a, b, y = u32(F.get(us, 0)), u32(F.get(us, 1)), year(F.get(us, 2))
-    iso_valid = _ymd(u32(F.substring(s, 1, 4)), u32(F.substring(s, 6, 2)), u32(F.substring(s, 9, 2)))
-    iso = F.regexp_replace(F.regexp_replace(s, r"^([\s\S]{4})\.", "$1-"), r"^([\s\S]{7})\.", "$1-")
-    iso = F.regexp_replace(iso, r"^([\s\S]{10}) ", "$1T")
-    words = F.split(s, r"\s+")
-    long_day = F.when(s.rlike("^[0-9]"), F.get(words, 0)).otherwise(F.get(words, 1))
-    long_month = F.when(s.rlike("^[0-9]"), F.get(words, 1)).otherwise(F.get(words, 0))
-    long = _ymd(u32(F.get(words, 2)), month_number(long_month), u32(F.regexp_replace(long_day, ",+$", "")))
-    bits = F.split(trim(F.translate(s, "-,", "  ")), r"\s+")
-    lead = F.get(bits, 0).rlike("^[0-9]")
-    short = _ymd(year(F.get(bits, 2)), month_number(F.when(lead, F.get(bits, 1)).otherwise(F.get(bits, 0))), u32(F.when(lead, F.get(bits, 0)).otherwise(F.get(bits, 1))))
+
+    def parts(seps: str, make) -> Column:
+        """`make` of three parts between the first of `seps` that is there, or dashes."""
+        cut = F.split(s, "-")
+        for sep in reversed(seps):
+            cut = F.when(has(s, sep), F.split(s, sep if sep != "." else r"\.")).otherwise(cut)
+        return let(cut, lambda p: F.when(F.size(p) == 3, make(*(F.get(p, i) for i in range(3)))))
+
+    def us(a: Column, b: Column, y: Column) -> Column:
+        return _ymd(year(y), u32(a), u32(b))
+
+    def eu(a: Column, b: Column, y: Column) -> Column:
+        return _ymd(year(y), u32(b), u32(a))
+
+    def iso() -> Column:
+        out = F.regexp_replace(F.regexp_replace(s, r"^([\s\S]{4})\.", "$1-"), r"^([\s\S]{7})\.", "$1-")
+        valid = _ymd(u32(F.substring(s, 1, 4)), u32(F.substring(s, 6, 2)), u32(F.substring(s, 9, 2)))
+        return F.when(valid.isNotNull(), F.regexp_replace(out, r"^([\s\S]{10}) ", "$1T"))
+
+    lead = s.rlike("^[0-9]")
+
+    def long(p: Column) -> Column:
+        day, month = (F.when(lead, F.get(p, i)).otherwise(F.get(p, 1 - i)) for i in (0, 1))
+        return F.when(F.size(p) >= 3, _ymd(u32(F.get(p, 2)), month_number(month), u32(F.regexp_replace(day, ",+$", ""))))
+
+    def short(p: Column) -> Column:
+        first = F.get(p, 0).rlike("^[0-9]")
+        day, month = (F.when(first, F.get(p, i)).otherwise(F.get(p, 1 - i)) for i in (0, 1))
+        return F.when(F.size(p) >= 3, _ymd(year(F.get(p, 2)), month_number(month), u32(day)))
+
     day = F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))
     time = F.concat_ws(":", F.substring(s, 9, 2), F.substring(s, 11, 2), F.substring(s, 13, 2))
     hl7 = F.when(F.length(s) >= 14, F.concat(day, F.lit("T"), time, hl7_zone(F.substring(s, 15, 1000)))).otherwise(day)
     return (
-        F.when(f.isin("Iso8601", "IsoDate"), F.when(iso_valid.isNotNull(), iso))
-        .when((f == "UsDate") & (F.size(us) == 3), _ymd(y, a, b))
-        .when((f == "EuDate") & (F.size(eu) == 3), _ymd(year(F.get(eu, 2)), u32(F.get(eu, 1)), u32(F.get(eu, 0))))
-        .when((f == "Ambiguous") & (F.size(us) == 3), F.when(day_first, _ymd(y, b, a)).otherwise(_ymd(y, a, b)))
-        .when((f == "LongDate") & (F.size(words) >= 3), long)
-        .when((f == "AbbrevDate") & (F.size(bits) >= 3), short)
+        F.when(f.isin("Iso8601", "IsoDate"), iso())
+        .when(f == "UsDate", parts("/", us))
+        .when(f == "EuDate", parts("./", eu))
+        .when(f == "Ambiguous", parts("/", lambda a, b, y: F.when(day_first, eu(a, b, y)).otherwise(us(a, b, y))))
+        .when(f == "LongDate", let(F.split(s, r"\s+"), long))
+        .when(f == "AbbrevDate", let(F.split(trim(F.translate(s, "-,", "  ")), r"\s+"), short))
         .when(f == "YearOnly", F.concat(s, F.lit("-01-01")))
         .when(f == "UnixSeconds", unix_iso(number(s)))
         .when(f == "UnixMillis", unix_iso(F.floor(number(s) / 1000)))

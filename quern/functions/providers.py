@@ -29,20 +29,21 @@ OLLAMA_STOPS = {"stop": "end_turn", "length": "max_tokens"}
 def _text_of(v: Column) -> Column:
     """A value as text, as coercion at its loosest has it."""
 
-    def one(x: Column) -> Column:
-        k = x["k"]
-        return F.when(k == "string", x["s"]).when(k == "float", V.number_text(x["v"])).when(k == "null", F.lit("")).when(k.isNotNull(), F.to_json(x["v"]))
+    def other(k: Column) -> Column:
+        return F.when(k == "float", V.number_text(v)).when(k == "null", F.lit("")).when(k.isNotNull(), F.to_json(v))
 
-    return let(F.struct(v.alias("v"), V.kind(v).alias("k"), F.try_variant_get(v, "$", "string").alias("s")), one)
+    return F.coalesce(V.string(v), let(V.kind(v), other))
 
 
-def _string(value: Column, path: str) -> Column:
-    return _text_of(V.at(value, path))
+def _parts(v: Column, *names: str) -> Column:
+    """An object's fields, each a value or NULL, read in one go; a text that holds an object is parsed."""
+    kind = "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">"
+    return F.coalesce(F.try_variant_get(v, "$", kind), F.try_variant_get(V.parsed(v), "$", kind))
 
 
-def _counts(value: Column, *paths: str) -> Column:
-    """The numbers at several paths, coerced by one expression."""
-    return F.transform(F.array(*(V.at(value, p) for p in paths)), lambda v: F.when(v.isNotNull(), coerce(v, "u64")["value"].cast("bigint")))
+def _counts(*values: Column) -> Column:
+    """Numbers, coerced by one expression."""
+    return F.transform(F.array(*values), lambda v: F.when(v.isNotNull(), coerce(v, "u64")["value"].cast("bigint")))
 
 
 def _block(kind: str, **parts: Column) -> Column:
@@ -50,13 +51,10 @@ def _block(kind: str, **parts: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), *(parts.get(n, F.lit(None)).cast("string").alias(n) for n in names)).cast(BLOCK)
 
 
-def _stop(value: Column, path: str, names: dict[str, str], missing: str, null: str) -> Column:
+def _stop(value: Column, names: dict[str, str], missing: str, null: str) -> Column:
     """A provider's reason in ours; `unknown:` and the text, or why there is none."""
     known = lambda t: F.coalesce(lookup(names, t), F.concat(F.lit("unknown:"), t))
-    return let(
-        V.walk(value, path),
-        lambda x: F.when(x["status"] != "ok", F.lit(f"unknown:{missing}")).when(F.is_variant_null(x["value"]), F.lit(f"unknown:{null}")).otherwise(let(_text_of(x["value"]), known)),
-    )
+    return F.when(value.isNull(), F.lit(f"unknown:{missing}")).when(F.is_variant_null(value), F.lit(f"unknown:{null}")).otherwise(let(_text_of(value), known))
 
 
 def _response(id_: Column, model: Column, content: Column, stop: Column, usage: Column, raw: Column, message: Column | None = None) -> Column:
@@ -78,24 +76,29 @@ def _response(id_: Column, model: Column, content: Column, stop: Column, usage:
 
 def parse_anthropic(body: Column) -> Column:
     def block(b: Column) -> Column:
-        return let(F.struct(b.alias("b"), _string(b, "type").alias("kind")), lambda x: one(x["b"], x["kind"]))
+        read = lambda p: let(F.struct(p.alias("p"), _text_of(p["type"]).alias("kind")), lambda x: one(b, x["p"], x["kind"]))
+        return let(_parts(b, "type", "text", "id", "name", "input"), read)
 
-    def one(b: Column, kind: Column) -> Column:
+    def one(b: Column, p: Column, kind: Column) -> Column:
         return (
-            F.when(kind == "text", _block("text", text=_string(b, "text")))
-            .when(kind == "tool_use", _block("tool_use", id=_string(b, "id"), name=_string(b, "name"), input=F.to_json(V.at(b, "input"))))
+            F.when(kind == "text", _block("text", text=_text_of(p["text"])))
+            .when(kind == "tool_use", _block("tool_use", id=_text_of(p["id"]), name=_text_of(p["name"]), input=F.to_json(p["input"])))
             .otherwise(_block("unknown", block_type=kind, data=F.to_json(b)))
         )
 
-    usage = _counts(body, *(f"usage.{k}" for k in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")))
-    content = F.transform(V.elements(V.at(body, "content")), block)
-    return _response(_string(body, "id"), _string(body, "model"), content, _stop(body, "stop_reason", ANTHROPIC_STOPS, "missing", "null"), usage, body)
+    def whole(x: Column) -> Column:
+        r, u = x["r"], x["u"]
+        usage = _counts(*(u[k] for k in counted))
+        return _response(_text_of(r["id"]), _text_of(r["model"]), F.transform(V.elements(r["content"]), block), _stop(r["stop_reason"], ANTHROPIC_STOPS, "missing", "null"), usage, body)
 
+    counted = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+    root = _parts(body, "id", "model", "content", "stop_reason", "usage")
+    return let(root, lambda r: let(F.struct(r.alias("r"), _parts(r["usage"], *counted).alias("u")), whole))
 
-def _arguments(call: Column) -> Column:
+
+def _arguments(value: Column) -> Column:
     """Arguments sent as text are parsed; text that isn't JSON is kept."""
-    value = V.at(call, "function.arguments")
-    return F.to_json(F.coalesce(F.when(V.is_string(value), V.from_json(V.string(value))), value))
+    return F.to_json(F.coalesce(V.from_json(V.string(value)), value))
 
 
 def _text_block(text: Column) -> Column:
@@ -103,26 +106,40 @@ def _text_block(text: Column) -> Column:
 
 
 def parse_openai(body: Column) -> Column:
+    def call(c: Column) -> Column:
+        made = lambda x: _block("tool_use", id=_text_of(x["id"]), name=_text_of(x["f"]["name"]), input=_arguments(x["f"]["arguments"]))
+        return let(_parts(c, "id", "function"), lambda p: let(F.struct(p["id"].alias("id"), _parts(p["function"], "name", "arguments").alias("f")), made))
+
     def whole(x: Column) -> Column:
-        b, message = x["b"], x["m"]
-        calls = F.transform(V.elements(V.at(message, "tool_calls")), lambda c: _block("tool_use", id=_string(c, "id"), name=_string(c, "function.name"), input=_arguments(c)))
-        content = F.concat(F.array(let(_string(message, "content"), _text_block)), calls)
-        usage = _counts(b, "usage.prompt_tokens", "usage.completion_tokens")
-        return _response(_string(b, "id"), _string(b, "model"), content, _stop(b, "choices[0].finish_reason", OPENAI_STOPS, "missing", "null"), usage, b, message)
+        r, u, c, m = x["r"], x["u"], x["c"], x["m"]
+        content = F.concat(F.array(let(_text_of(m["content"]), _text_block)), F.transform(V.elements(m["tool_calls"]), call))
+        usage = _counts(u["prompt_tokens"], u["completion_tokens"])
+        return _response(_text_of(r["id"]), _text_of(r["model"]), content, _stop(c["finish_reason"], OPENAI_STOPS, "missing", "null"), usage, body, c["message"])
 
-    return let(F.struct(body.alias("b"), V.at(body, "choices[0].message").alias("m")), whole)
+    def message(x: Column) -> Column:
+        return let(F.struct(x["r"].alias("r"), x["u"].alias("u"), x["c"].alias("c"), _parts(x["c"]["message"], "content", "tool_calls").alias("m")), whole)
 
+    def choice(r: Column) -> Column:
+        first = _parts(F.get(V.elements(r["choices"]), F.lit(0)), "message", "finish_reason")
+        return let(F.struct(r.alias("r"), _parts(r["usage"], "prompt_tokens", "completion_tokens").alias("u"), first.alias("c")), message)
+
+    return let(_parts(body, "id", "model", "choices", "usage"), choice)
 
-def parse_ollama(body: Column) -> Column:
-    made = let(V.at(body, "created_at"), lambda v: F.when(v.isNotNull() & ~F.is_variant_null(v), _text_of(v)))
 
+def parse_ollama(body: Column) -> Column:
     def call(c: Column) -> Column:
-        name = _string(c, "function.name")
-        return let(name, lambda n: _block("tool_use", id=F.concat(F.lit("ollama_"), n), name=n, input=F.coalesce(F.to_json(V.at(c, "function.arguments")), F.lit("{}"))))
+        made = lambda x: _block("tool_use", id=F.concat(F.lit("ollama_"), x["n"]), name=x["n"], input=F.coalesce(F.to_json(x["a"]), F.lit("{}")))
+        return let(_parts(V.at(c, "function"), "name", "arguments"), lambda f: let(F.struct(_text_of(f["name"]).alias("n"), f["arguments"].alias("a")), made))
 
-    content = F.concat(F.array(let(_string(body, "message.content"), _text_block)), F.transform(V.elements(V.at(body, "message.tool_calls")), call))
-    stop = _stop(body, "done_reason", OLLAMA_STOPS, "unknown", "unknown")
-    return _response(F.coalesce(made, F.lit("ollama")), _string(body, "model"), content, stop, _counts(body, "prompt_eval_count", "eval_count"), body)
+    def whole(x: Column) -> Column:
+        r, m = x["r"], x["m"]
+        content = F.concat(F.array(let(_text_of(m["content"]), _text_block)), F.transform(V.elements(m["tool_calls"]), call))
+        made = F.when(~F.is_variant_null(r["created_at"]), _text_of(r["created_at"]))
+        stop = _stop(r["done_reason"], OLLAMA_STOPS, "unknown", "unknown")
+        return _response(F.coalesce(made, F.lit("ollama")), _text_of(r["model"]), content, stop, _counts(r["prompt_eval_count"], r["eval_count"]), body)
+
+    root = _parts(body, "model", "created_at", "message", "done_reason", "prompt_eval_count", "eval_count")
+    return let(root, lambda r: let(F.struct(r.alias("r"), _parts(r["message"], "content", "tool_calls").alias("m")), whole))
 
 
 def text(response: Column) -> Column:

@@ -92,10 +92,15 @@ def underscores(c: Column) -> Column:
 
 def radix(c: Column) -> Column:
     """The value of 0x, 0o or 0b digits as DECIMAL(20,0), NULL beyond 64 signed bits."""
+
+    def value(base: int) -> Callable[[Column], Column]:
+        # Digits are the second group, the sign the first; both are empty where nothing matches.
+        return lambda x: F.when(F.get(x, 1) != "", F.concat(F.get(x, 0), F.conv(F.get(x, 1), base, 10)).try_cast("decimal(20,0)"))
+
     out = F.lit(None).cast("decimal(20,0)")
     for prefix, digits, base, most in (("[xX]", "0-9a-fA-F", 16, 16), ("[oO]", "0-7", 8, 21), ("[bB]", "01", 2, 63)):
         pattern = rf"^0{prefix}([+-]?)0*([{digits}]{{1,{most}}})$"
-        size = F.conv(F.regexp_extract(c, pattern, 2), base, 10).try_cast("decimal(20,0)")
-        value = F.when(F.regexp_extract(c, pattern, 1) == "-", -size).otherwise(size).cast("decimal(20,0)")
-        out = F.when(c.rlike(pattern), F.when(value.between(*map(whole, I64)), value)).otherwise(out)
-    return out
+        groups = F.array(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2))
+        out = F.when(c.rlike(f"^0{prefix}"), let(groups, value(base))).otherwise(out)
+    within = lambda v: F.when(v.between(*map(whole, I64)), v)
+    return F.when(c.rlike("^0[xXoObB]"), let(out, within))

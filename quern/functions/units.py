@@ -103,23 +103,29 @@ def parse(text: Column) -> Column:
     return X.let(X.trim(text), lambda t: X.let(F.struct(t.alias("t"), F.replace(F.lower(t), F.lit("º"), F.lit("°")).alias("s")), lambda x: _parse(x["t"], x["s"])))
 
 
+def _cut(c: Column, pattern: str, *groups: int) -> Column:
+    """A pattern's groups as an array, NULL where it doesn't match."""
+    return F.when(c.rlike(pattern), F.array(*(F.regexp_extract(c, pattern, i) for i in groups)))
+
+
 def _parse(t: Column, s: Column) -> Column:
+    # A code can only be what is in the table, so the number before it is looked at only then.
+    code = lambda p: X.let(standard_unit(X.trim(F.get(p, 1))), lambda u: F.when(u.isNotNull(), _found(numeric(F.lower(X.trim(F.get(p, 0)))), u)))
     spaced, three, two = r"^([\s\S]*) ([^ ]*)$", r"^([\s\S]+)([A-Za-z]{3})$", r"^([\s\S]+)([A-Za-z]{2})$"
-    out = []
-    for pattern in (spaced, three, two):
-        number = numeric(F.lower(X.trim(X.group(t, pattern, 1))))
-        out.append(_found(number, standard_unit(X.trim(X.group(t, pattern, 2)))))
-    out.append(_found(numeric(X.trim(X.group(s, TAIL, 1))), lookup(UNIT_OF, X.trim(X.group(s, TAIL, 2)))))
-    out.append(compound(s))
-    return F.coalesce(*out)
+    out = [F.when(guard, X.let(_cut(t, pattern, 1, 2), code)) for guard, pattern in ((X.has(t, " "), spaced), (F.lit(True), three), (F.lit(True), two))]
+    tail = lambda p: X.let(lookup(UNIT_OF, X.trim(F.get(p, 1))), lambda u: F.when(u.isNotNull(), _found(numeric(X.trim(F.get(p, 0))), u)))
+    return F.coalesce(*out, X.let(_cut(s, TAIL, 1, 2), tail), compound(s))
 
 
 def compound(s: Column) -> Column:
     """`5 ft 11 in`: the second quantity in the first one's unit, added."""
     pattern = r"^([^A-Za-z°]*[0-9.])\s*([^0-9.]+?)\s*([0-9][0-9.]*)\s*([^0-9.]+)$"
-    first, second = lookup(UNIT_OF, X.trim(X.group(s, pattern, 2))), lookup(UNIT_OF, X.trim(X.group(s, pattern, 4)))
-    amount = numeric(X.trim(X.group(s, pattern, 1))) + X.plain_float(X.group(s, pattern, 3)) * factor(second, first)
-    return _found(amount, first)
+
+    def one(p: Column) -> Column:
+        units = F.struct(lookup(UNIT_OF, X.trim(F.get(p, 1))).alias("a"), lookup(UNIT_OF, X.trim(F.get(p, 3))).alias("b"))
+        return X.let(units, lambda u: _found(numeric(X.trim(F.get(p, 0))) + X.plain_float(F.get(p, 2)) * factor(u["b"], u["a"]), u["a"]))
+
+    return X.let(_cut(s, pattern, 1, 2, 3, 4), one)
 
 
 #: Units that the conversion tables know by another name.

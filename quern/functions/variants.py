@@ -19,7 +19,8 @@ OBJECT_TEXT, ARRAY_TEXT = r"^\{[\s\S]*\}$", r"^\[[\s\S]*\]$"
 
 def from_json(text: Column, strict: bool = False) -> Column:
     """The value of a JSON text, a byte order mark before it dropped. NULL if it isn't JSON, or an error if `strict`."""
-    bare = F.regexp_replace(text, "^﻿", "")
+    mark = "\ufeff"
+    bare = F.when(text.startswith(mark), F.regexp_replace(text, f"^{mark}", "")).otherwise(text)
     return F.parse_json(bare) if strict else F.try_parse_json(bare)
 
 
@@ -36,17 +37,30 @@ def from_row(row: Column) -> Column:
     return F.to_variant_object(row)
 
 
+def _array(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _map(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def form(value: Column) -> Column:
+    """ARRAY, OBJECT, or a scalar's type. Only the top is looked at, where a schema goes through the whole value."""
+    return F.when(_array(value).isNotNull(), "ARRAY").when(_map(value).isNotNull(), "OBJECT").otherwise(F.schema_of_variant(value))
+
+
 def kind(value: Column) -> Column:
     """null, bool, integer, float, string, array or object; NULL for an absent value. A float without a fraction is `float` here."""
     return let(
-        F.schema_of_variant(value),
+        form(value),
         lambda s: F.when(s.isNull(), F.lit(None).cast("string"))
+        .when(s == "STRING", "string")
+        .when(s == "BIGINT", "integer")
         .when(s == "VOID", "null")
         .when(s == "BOOLEAN", "bool")
-        .when(s == "BIGINT", "integer")
-        .when(s == "STRING", "string")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
+        .when(s == "ARRAY", "array")
+        .when(s == "OBJECT", "object")
         # an integer beyond 64 signed bits is a decimal of scale 0 and 19 digits at least
         .when(s.rlike(r"^DECIMAL\((19|20),0\)$"), "integer")
         .otherwise("float"),
@@ -69,27 +83,29 @@ def number_text(value: Column) -> Column:
 
 def string(value: Column) -> Column:
     """The text of a string value, NULL for other kinds."""
-    return F.when(kind(value) == "string", F.try_variant_get(value, "$", "string"))
+    return F.when(form(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def elements(value: Column) -> Column:
     """The elements of an array value; a text that holds an array is parsed; anything else has none."""
-    text = trim(string(value))
-    array = F.when(F.schema_of_variant(value).startswith("ARRAY"), value).when(text.rlike(ARRAY_TEXT), F.try_parse_json(text))
-    listed = F.when(F.schema_of_variant(array).startswith("ARRAY"), array.cast("array<variant>"))
-    return F.coalesce(listed, F.array().cast("array<variant>"))
+    return F.coalesce(_array(value), _array(parsed(value)), F.array().cast("array<variant>"))
 
 
 def fields(value: Column) -> Column:
     """The fields of an object value as a map, NULL for other kinds."""
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value).cast("map<string,variant>")
+    return _map(value)
+
+
+def quoted(*segments: Segment) -> str:
+    """Segments as a variant path."""
+    one = lambda s: f"[{s}]" if isinstance(s, int) else "['" + s + "']" if "'" not in s else '["' + s + '"]'
+    return "$" + "".join(map(one, segments))
 
 
-def quoted(segment: Segment) -> str:
-    """The segment in a variant path."""
-    if isinstance(segment, int):
-        return f"$[{segment}]"
-    return "$['" + segment + "']" if "'" not in segment else '$["' + segment + '"]'
+def parsed(value: Column) -> Column:
+    """The value of a text that looks like JSON."""
+    text = trim(string(value))
+    return F.when(text.rlike(OBJECT_TEXT) | text.rlike(ARRAY_TEXT), F.try_parse_json(text))
 
 
 def _hop(value: Column, segment: Segment) -> Column:
@@ -103,28 +119,42 @@ def walk(value: Column, path: str | tuple[Segment, ...]) -> Column:
     """STRUCT<value, status>: what stands at a path, and OK, NOT_FOUND, TYPE_MISMATCH or OUT_OF_BOUNDS."""
     segments = parse_path(path) if isinstance(path, str) else path
     here = F.struct(value.alias("value"), F.when(value.isNull(), NOT_FOUND).otherwise(OK).alias("status"))
+    if not segments:
+        return here
     for segment in segments:
         here = let(here, partial(_step, segment))
-    return here
+    # Most paths lead through objects and arrays only; the steps tell why one doesn't.
+    direct = F.try_variant_get(value, quoted(*segments), "variant")
+    return F.when(direct.isNotNull(), F.struct(direct.alias("value"), F.lit(OK).alias("status"))).otherwise(here)
 
 
 def _step(segment: Segment, x: Column) -> Column:
     def inside(v: Column) -> Column:
-        s = F.schema_of_variant(v)
+        s = form(v)
         found = F.try_variant_get(v, quoted(segment), "variant")
         if isinstance(segment, int):
-            missing = F.when(s.startswith("ARRAY"), OUT_OF_BOUNDS).otherwise(TYPE_MISMATCH)
+            missing = F.when(s == "ARRAY", OUT_OF_BOUNDS).otherwise(TYPE_MISMATCH)
         else:
             # Arrays have no names; other kinds can't be stepped into.
-            missing = F.when(s.startswith("OBJECT") | s.startswith("ARRAY"), NOT_FOUND).otherwise(TYPE_MISMATCH)
-        right = s.startswith("ARRAY" if isinstance(segment, int) else "OBJECT")
-        return F.struct(F.when(right, found).alias("value"), F.when(right & found.isNotNull(), OK).otherwise(missing).alias("status"))
+            missing = F.when(s.isin("OBJECT", "ARRAY"), NOT_FOUND).otherwise(TYPE_MISMATCH)
+        return F.struct(found.alias("value"), F.when(found.isNotNull(), OK).otherwise(missing).alias("status"))
 
     return F.when(x["status"] == OK, let(_hop(x["value"], segment), inside)).otherwise(x)
 
 
+def _inside(spot: str, v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, spot, "variant"), F.try_variant_get(parsed(v), spot, "variant"))
+
+
 def at(value: Column, path: str) -> Column:
-    return walk(value, path)["value"]
+    """What stands at a path, NULL if nothing does."""
+    segments = parse_path(path)
+    if not segments:
+        return value
+    here = value
+    for segment in segments:
+        here = let(here, partial(_inside, quoted(segment)))
+    return F.coalesce(F.try_variant_get(value, quoted(*segments), "variant"), here)
 
 
 def status(value: Column, path: str) -> Column:
@@ -153,8 +183,7 @@ def keys(value: Column) -> Column:
 
 def size(value: Column) -> Column:
     """Elements of an array or fields of an object, NULL for other kinds."""
-    array = F.when(F.schema_of_variant(value).startswith("ARRAY"), value).cast("array<variant>")
-    return F.when(array.isNotNull(), F.size(array)).when(fields(value).isNotNull(), F.size(fields(value)))
+    return F.when(_array(value).isNotNull(), F.size(_array(value))).when(fields(value).isNotNull(), F.size(fields(value)))
 
 
 def is_empty(value: Column) -> Column:

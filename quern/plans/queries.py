@@ -18,7 +18,7 @@ from quern.operators import schema as S
 from quern.operators.registry import HandlerRegistry
 from quern.operators.shape import FieldSpec, ShapeSpec
 from quern.plans.config import ABSORBING, STRICT, Level, Packs, ShapeConfig
-from quern.session import ship
+from quern.session import ship, spread
 from quern.streaming import operators as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def query(sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def as_value(text: Column) -> Column:

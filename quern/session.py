@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What every session needs for the semantics of the operators: UTC, ANSI, duplicate JSON keys (the last wins).
 SETTINGS = {
@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
 }
 
+#: A table with fewer bytes a core than this is dealt out to all cores.
+SMALL = 16 << 20
+
 _shipped: set[str] = set()
 
 
@@ -43,3 +46,11 @@ def ship(spark: SparkSession) -> None:
             out.write(p, str(p.relative_to(root.parent)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` on all cores, for expressions that cost far more than a read. Small files are often one row group and so one task, whatever their
+    number of splits; a table beyond SMALL bytes a core has splits enough and is returned as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import variants as V
@@ -13,13 +13,11 @@ def _numbered(df: DataFrame) -> DataFrame:
     """`row_idx` from 0 in file and line order, without bringing rows together: rows of a partition follow the counts of those
     before it."""
     dealt = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # a row a partition
-    before, start = 0, {}
-    for part in sorted(counts):
-        start[part], before = before, before + counts[part]
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_part").count()  # a row a partition, as is what is broadcast
+    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    first = F.coalesce(*(F.when(F.col("_part") == p, F.lit(n)) for p, n in start.items()), F.lit(0)) if start else F.lit(0)
-    return dealt.withColumn("row_idx", (first + within).cast("long")).drop("_part", "_at")
+    return dealt.join(F.broadcast(starts), "_part").withColumn("row_idx", (F.col("_start") + within).cast("long")).drop("_part", "_at", "_start")
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
