@@ -1,6 +1,7 @@
 """Near-duplicates: minwise signatures and a multi-index Hamming join.
 
-A document is the set of its shingles of words; documents with equal sets are one node. A signature has positions of 16 bits,
+A document is the set of its shingles of words; documents whose sets have the same 128-bit hash are one node, named by
+the least of its rows (rows are numbered once, in the table that holds their texts and signatures). A signature has positions of 16 bits,
 each the hash of a set's minimum under one permutation, so the distance of two signatures (positions that differ) follows the
 sets' similarity. The whole signature is split into m chunks. By the pigeonhole principle two signatures at most 2m - 1
 positions apart have a chunk with at most one error, so a chunk is entered once for each position that may be wrong, with
@@ -14,11 +15,13 @@ Buckets are worked through in two rounds, so that a group of near copies costs a
    holds the bucket: components are joined as it goes, and only the links that joined some leave it. Large buckets are
    dealt out as pairs of blocks.
 After that every near pair of a bucket is either in one component or was tested. Texts are fetched only for nodes that have a
-partner. Those of the stars meet in a grid of cells, so that a node is sent to as many cells as hold pairs of it.
+partner, by the number of a row, so keys may be null or repeated. Those of the stars meet in a grid of cells, so that a node is sent to as
+many cells as hold pairs of it. Blocks and cells are bounded in nodes and in shingles, whichever is met first.
 
 Results: a null text counts as empty; a document without words has no shingle and is linked with nothing; one with fewer words than
-a shingle has one shingle, its whole sequence. The component's name is its least key that isn't null. Rows with equal
-keys are separate rows. An empty table gives no rows.
+a shingle has one shingle, its whole sequence; a text of any length is one set. The component's name is its least key that isn't null.
+Rows with equal keys are separate rows. `groups` returns key, n_shingles, component_id and kept, whatever other columns are called;
+`representatives` returns the columns of the table. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import append_columns, col, materialise, texts
+from quern.llm.common import append_columns, col, materialise, settled, texts
 
 #: Words of a shingle, positions of a chunk, most probable miss of a pair at the threshold.
 WORDS, CHUNK, MISS = 5, 4, 1e-6
-#: Nodes of a block of a large bucket, nodes of a side of a cell.
-BLOCK, SIDE = 1000, 1500
+#: Nodes of a block of a large bucket, nodes of a side of a cell, and shingles of either.
+BLOCK, SIDE, MOST = 1000, 1500, 2_000_000
 #: Distinct words remembered by a worker.
 MEMORY = 100_000
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -112,24 +115,28 @@ def digest(sets: np.ndarray) -> bytes:
     return hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
 
 
-def node_of(sets: np.ndarray) -> int:
-    return int.from_bytes(digest(sets)[:8], "little", signed=True)
+def halves(sets: np.ndarray) -> tuple[int, int]:
+    """The 128 bits that name a set."""
+    found = digest(sets)
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
 
 
 def signed(df: DataFrame, text: str, k: int, words: int) -> DataFrame:
-    """`df` with node, n_shingles and sig in place of its text."""
+    """`df` with h1, h2, n_shingles and sig."""
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         a, b = permutations(k)
-        nodes, counts, sigs = [], [], []
+        one, two, counts, sigs = [], [], [], []
         for t in texts(part, text):
             s = shingles(t, words)
-            nodes.append(node_of(s))
+            h1, h2 = halves(s)
+            one.append(h1)
+            two.append(h2)
             counts.append(len(s))
             sigs.append(signature(s, a, b).tobytes() if len(s) else b"")
-        return [pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())]
+        return [pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())]
 
-    return append_columns(df, "node long, n_shingles long, sig binary", compute, (text,))
+    return append_columns(df, "h1 long, h2 long, n_shingles long, sig binary", compute)
 
 
 def stacked(sigs: pa.Array, k: int) -> np.ndarray:
@@ -150,17 +157,17 @@ def bucket_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
 
 
 def entries(nodes: DataFrame, p: Plan) -> DataFrame:
-    """node, sig -> key, node: a row for each bucket that a node is in."""
+    """node, sig, n -> key, node, n: a row for each bucket that a node is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 keys = bucket_keys(stacked(part.column(1), p.positions), p.chunks)
-                owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owner)], names=["key", "node"])
+                owner, n = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), keys.shape[1]) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owner), pa.array(n)], names=["key", "node", "n"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sig", "n").mapInArrow(run, "key long, node long, n long")
 
 
 def near(pairs: DataFrame, nodes: DataFrame, p: Plan, percent: int) -> DataFrame:
@@ -239,15 +246,16 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 GROUP = "key long, i int, j int, mine int, node long, comp long, n long, sig binary"
 
 
-def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, p: Plan, percent: int, words: int) -> DataFrame:
-    """key, node, comp -> links (x, y) that join components within a bucket.
+def across(buckets: DataFrame, nodes: DataFrame, known: DataFrame, p: Plan, percent: int, words: int) -> DataFrame:
+    """key, node, n, comp -> links (x, y) that join components within a bucket.
 
     Near pairs aren't written out: a first pass keeps the nodes that have a partner in their bucket, these get their
     texts, and a second pass confirms the pairs where they meet. A task joins components as it goes and skips what is joined
     already, so what leaves it is a forest.
     """
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n_bucket"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    sizes = sizes.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("n_bucket") / BLOCK).cast("int").alias("blocks"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n_bucket"), F.sum("n").alias("n_all"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    blocks = F.ceil(F.greatest(F.col("n_bucket") / BLOCK, F.least(F.col("n_all") / MOST, F.col("n_bucket")))).cast("int").alias("blocks")
+    sizes = sizes.where(F.col("low") < F.col("high")).select("key", blocks)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = buckets.join(sizes, "key").select("key", "node", "comp", mine.alias("mine"), other)
@@ -267,8 +275,7 @@ def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, p: Plan, perce
                 yield from table.take(pa.array(np.sort(group.order[used]))).to_batches()
 
     some = materialise(dealt.mapInArrow(paired, GROUP), "partners")
-    asked = some.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    found = asked.join(docs, F.col("rep").eqNullSafe(F.col("key"))).select(F.col("node").alias("of"), "text")
+    found = some.select("node").distinct().join(known.select(F.col("row").alias("of"), "text"), F.col("node") == F.col("of")).select("of", "text")
     full = some.join(found, F.col("node") == F.col("of")).drop("of").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +283,8 @@ def across(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, p: Plan, perce
             sets: dict[int, np.ndarray] = {}
             rows: dict[int, int] = {}
             for at, (node, t) in enumerate(zip(table.column("node").to_pylist(), table.column("text").to_pylist(), strict=True)):
-                if node not in sets and node_of(s := shingles(t or "", words)) == node:  # rows may share a key and have other texts
-                    sets[node], rows[node] = s, at
+                if node not in sets:
+                    sets[node], rows[node] = shingles(t or "", words), at
             group = Group(table.take(pa.array(sorted(rows.values()))), p, percent)
             above: dict[int, int] = {}
 
@@ -311,21 +318,18 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (x, y) that are linked on their full shingle sets. `docs` has key and text, `nodes` node and rep, a key."""
-    grid = max(1, -(-pairs.select(F.explode(F.array("x", "y")).alias("node")).agg(F.approx_count_distinct("node")).first()[0] // SIDE))
+def confirmed(pairs: DataFrame, nodes: DataFrame, known: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (x, y) that are linked on their full shingle sets."""
+    paired = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "n"), "node")
+    n, total = paired.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    grid = max(1, -(-n // SIDE), -(-total // MOST))
     spot = lambda c: F.pmod(F.xxhash64(F.lit("cell"), c), F.lit(grid)).cast("int")
     placed = pairs.select("x", "y", spot("x").alias("i"), spot("y").alias("j"))
     asked = placed.select("i", "j", F.explode(F.array("x", "y")).alias("node")).distinct()
-    asked = asked.join(nodes.select("node", "rep"), "node")
-    found = asked.join(docs, F.col("rep").eqNullSafe(F.col("key"))).select(F.col("i").alias("of_i"), F.col("j").alias("of_j"), "node", "text")
+    found = asked.join(known.select(F.col("row").alias("node"), "text"), "node").select(F.col("i").alias("of_i"), F.col("j").alias("of_j"), "node", "text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets: dict[int, np.ndarray] = {}
-        for node, t in zip(right.column("node").to_pylist(), right.column("text").to_pylist(), strict=True):
-            s = shingles(t or "", words)
-            if node_of(s) == node:  # rows may share a key and have other texts
-                sets[node] = s
+        sets = {node: shingles(t or "", words) for node, t in zip(right.column("node").to_pylist(), right.column("text").to_pylist(), strict=True)}
         x, y = left.column("x").to_numpy(), left.column("y").to_numpy()
         keep = np.zeros(len(x), bool)
         for at, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
@@ -357,12 +361,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS) -> DataFrame:
-    """A row for each row of `df`: its key, n_shingles, component_id, kept. Links: similarity of `percent` or more."""
-    p = plan(percent)
-    docs = df.select(col(key).alias("key"), col(text).alias("text"))
-    known = materialise(signed(docs, "text", p.positions, words), "signatures")
-    nodes = known.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+def numbered(df: DataFrame, key: str, text: str, p: Plan, words: int, carry: bool) -> DataFrame:
+    """The table that everything is looked up in: row (a number), key, text, h1, h2, n_shingles, sig, and with `carry` all columns as c0, c1..."""
+    own = [col(c).alias(f"c{i}") for i, c in enumerate(df.columns)] if carry else []
+    rows = df.select(F.monotonically_increasing_id().alias("row"), col(key).alias("key"), col(text).alias("text"), *own)
+    return materialise(signed(rows, "text", p.positions, words), "signatures")
+
+
+def component_of(known: DataFrame, p: Plan, percent: int, words: int) -> DataFrame:
+    """h1, h2, comp, least_key of every set that isn't empty."""
+    nodes = known.where("n_shingles > 0").groupBy("h1", "h2")
+    nodes = nodes.agg(F.min("row").alias("node"), F.min("key").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = materialise(nodes, "nodes")
 
     entered = entries(nodes, p)
@@ -370,17 +379,37 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     shared = materialise(entered.join(pivots, "key"), "buckets")
     stars = shared.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
     tested = materialise(near(stars, nodes, p, percent), "stars")
-    links = materialise(confirmed(tested, nodes, docs, percent, words), "links")
-    comps = materialise(components(links), "components")
+    links = materialise(confirmed(tested, nodes, known, percent, words), "links")
+    comps = settled(lambda: components(links), "components")
 
-    named = shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more = materialise(across(named, nodes, docs, p, percent, words), "more-links")
+    named = shared.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = settled(lambda: across(named, nodes, known, p, percent, words), "more-links")
     if not more.isEmpty():
-        comps = materialise(components(links.union(more)), "components")
+        comps = settled(lambda: components(links.union(more)), "components")
+
+    joined = nodes.select("node", "h1", "h2", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    names = joined.groupBy("comp").agg(F.min("least").alias("least_key"))
+    return joined.join(names, "comp").select("h1", "h2", "comp", "least_key")
+
 
-    joined = nodes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = joined.join(least, "comp").select("node", "component_id")
-    out = known.select("key", "n_shingles", "node").join(of_node, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component_id")))
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS) -> DataFrame:
+    """A row for each row of `df`: its key, n_shingles, component_id, kept. Links: similarity of `percent` or more."""
+    p = plan(percent)
+    known = numbered(df, key, text, p, words, carry=False)
+    found = settled(lambda: component_of(known, p, percent, words), "sets")
+    out = known.select("key", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("least_key"))
+    out = out.select("key", "n_shingles", component.alias("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS) -> DataFrame:
+    """The rows of `df` that stay, one for each component: of its least key (null last), and of that key's rows the first by a hash of its set.
+    Rows without shingles stay."""
+    p = plan(percent)
+    known = numbered(df, key, text, p, words, carry=True)
+    found = settled(lambda: component_of(known, p, percent, words), "sets")
+    order = F.struct(F.col("key").isNull(), F.col("key"), F.col("h1"), F.col("h2"), F.col("row"))
+    best = known.select("row", "key", "h1", "h2").join(found, ["h1", "h2"]).groupBy("comp").agg(F.min(order)["row"].alias("row")).select("row")
+    stays = best.union(known.where("n_shingles = 0").select("row"))
+    return known.join(stays, "row", "left_semi").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))

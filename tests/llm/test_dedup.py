@@ -135,8 +135,7 @@ def near_rows():
 def test_near(spark, monkeypatch, percent, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "SIDE", 1000 if block == 1000 else 11)
-    if (percent, block) == (80, 7):
-        pytest.skip("the other three cover both")
+    monkeypatch.setattr(minhash, "MOST", 2_000_000 if block == 1000 else 400)
     rows = near_rows()
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, node string")
     found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.groups(df, percent=percent).collect()]
@@ -147,6 +146,32 @@ def test_near(spark, monkeypatch, percent, block):
     assert sorted(found, key=order) == sorted(expected, key=order)
 
 
+def test_near_representatives(spark):
+    """One row of each component stays, whole; one id under two texts is two rows, each judged by its text."""
+    random.seed(2)
+    text = lambda n: [random.choice(WORDS) for _ in range(n)]
+    one, other = text(120), text(120)
+    bent = lambda words, i: " ".join([*words[:60], f"odd{i}", *words[61:]])
+    rows = [(1, " ".join(one), "a"), (2, bent(one, 2), "b"), (3, " ".join(other), "c"), (2, bent(other, 3), "d"), (7, "alone with these few words", "e"), (None, bent(one, 9), "f")]
+    rows += [(8, "", "g"), (8, None, "h"), (None, "keyless text of its own here", "i"), (9, "twice the same text it is", "j"), (9, "twice the same text it is", "j")]
+    found = minhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
+    assert sorted(r.row for r in found) == ["a", "d", "e", "g", "h", "i", "j"]
+    assert {(r.doc_id, r.text, r.row) for r in found} <= set(rows)
+
+
+def test_many_rows_of_one_key(spark):
+    """Texts under one key, null as well, are linked like any others."""
+    rows = near_rows()
+    for key in (None, 5):
+        df = spark.createDataFrame([(key, t) for _, t in rows], "doc_id long, text string")
+        found = minhash.groups(df)
+        sizes = sorted(r.n_shingles for r in found.collect())
+        assert sizes == sorted(len(shingles(t)) for _, t in rows)
+        stay = len({c if n else (k, c) for k, n, c in brute([(i, t) for i, (_, t) in enumerate(rows)], 80)})
+        empty = sum(not shingles(t) for _, t in rows)
+        assert minhash.representatives(df).count() == len({c for _, n, c in brute([(i, t) for i, (_, t) in enumerate(rows)], 80) if n}) + empty <= stay + empty
+
+
 def test_near_without_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.groups(df).count() == 0
