@@ -1,7 +1,12 @@
 """From raw documents to token ids: language, exact copies, near copies, mix, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it leaves, in their own columns; the last returns digests
-of the ids. Stages are handed on as Parquet. SQL can't express the first stage, so there is no ORACLE_SQL.
+of the ids. Stages are handed on as Parquet, and what a stage wrote on the way goes when it is done. SQL can't express the first stage, so
+there is no ORACLE_SQL.
+
+A row is judged by itself and not by its doc_id, so an id may be null or stand for several texts. Null and empty texts have no letter and go
+in the first stage; repeated rows are exact copies, of which one stays; an empty table gives an empty one. Columns besides doc_id,
+text, lang, source and n_chars are handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, langid, minhash, mixing
-from quern.llm.common import documents, fold, materialise
+from quern.llm.common import documents, fold, settled
 from quern.llm.q_bpe import digest
 
 #: Least likeness to a language's profile; what is below is in none of the languages.
@@ -28,14 +33,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id; of its repeated rows, one."""
-    marked = exact_dedup.mark(docs).where("kept")
-    return marked.dropDuplicates(["doc_id", "text_sha256"]).select(*docs.columns)
+    return exact_dedup.representatives(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
-    kept = minhash.groups(docs, percent=NEAR).where("kept").select(F.col("doc_id").alias("stays"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*docs.columns)
+    return minhash.representatives(docs, percent=NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name))
     return STAGES[-1][1](spark, docs, sf_dir)
