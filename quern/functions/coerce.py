@@ -8,13 +8,16 @@ plain numbers, radix digits, US, European and other groupings, underscores, null
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.errors import NOT_FOUND, OUT_OF_BOUNDS, TYPE_MISMATCH
 from quern.functions import text as X
 from quern.functions import variants as V
 from quern.functions.diagnostics import INFO, RISKY, WARNING, diagnostic, none
+from quern.functions.paths import parse_path
 from quern.plans.config import Level, Packs, ShapeConfig
 
 #: Integer targets: Spark type, least and largest value.
@@ -144,6 +147,8 @@ def _string(t: Column, raw: Column, target: str, config: ShapeConfig, optional:
     if config.level >= Level.BEST_EFFORT:
         lower = F.lower(raw if target == "bool" else t)
         after = F.when(lower.isin(*NULL_WORDS), _to_null(target, "null-sentinel string", config, optional, chain)).otherwise(after)
+        # An object or array is no value of the target yet, but the text was opened up and that is told.
+        after = F.when(_holds_json(t), result(target, None, False, True, stringified())).otherwise(after)
     if target == "bool":
         word = F.lower(t)
         return (
@@ -156,6 +161,14 @@ def _string(t: Column, raw: Column, target: str, config: ShapeConfig, optional:
     return _float_text(t, target, config, optional, chain, after)
 
 
+def _holds_json(t: Column) -> Column:
+    return F.coalesce(t.rlike(r"^(\{[\s\S]*\}|\[[\s\S]*\])$") & F.try_parse_json(t).isNotNull(), F.lit(False))
+
+
+def stringified() -> Column:
+    return diagnostic("coerced", "stringified JSON", "parsed value", WARNING, "send structured data instead of JSON in a string")
+
+
 def _packs(t: Column, target: str, packs: Packs) -> Column:
     """Currency, then units. A pack's number is a float, so it never fits an integer type."""
     from quern.functions import currency, units
@@ -252,8 +265,11 @@ def _exact(v: Column, k: Column, target: str, source: str, risk: int) -> Column:
 
 
 def coerce_array(value: Column, target: str, config: ShapeConfig | None = None) -> Column:
-    """An array to ARRAY<target>, element by element: STRUCT<value, ok, coerced, diag>; more than one diagnostic is summed up in one."""
+    """An array to ARRAY<target>, element by element: STRUCT<value, ok, coerced, diag>; more than one diagnostic is summed up in one. A text that
+    holds an array is taken for it at the loosest level, which is told if the elements have nothing to tell."""
     config = config or ShapeConfig()
+    text = X.trim(V.string(value))
+    opened = F.coalesce(text.rlike(V.ARRAY_TEXT) & F.try_parse_json(text).isNotNull(), F.lit(False)) if config.level >= Level.BEST_EFFORT else F.lit(False)
     each = F.transform(V.elements(value), lambda e: coerce(e, target, config))
 
     def summed(items: Column) -> Column:
@@ -264,11 +280,11 @@ def coerce_array(value: Column, target: str, config: ShapeConfig | None = None)
         return F.struct(
             F.transform(items, lambda x: x["value"]).alias("value"),
             F.forall(items, lambda x: x["ok"]).alias("ok"),
-            F.exists(items, lambda x: x["coerced"]).alias("coerced"),
-            diag.alias("diag"),
+            (F.exists(items, lambda x: x["coerced"]) | opened).alias("coerced"),
+            F.coalesce(diag, F.when(opened, stringified())).alias("diag"),
         )
 
-    return F.when(V.kind(value) == "array", X.let(each, summed))
+    return F.when((V.kind(value) == "array") | opened, X.let(each, summed))
 
 
 def extract(value: Column, path: str, target: str, config: ShapeConfig | None = None, optional: bool = False) -> Column:
@@ -286,9 +302,28 @@ def extract(value: Column, path: str, target: str, config: ShapeConfig | None =
     return X.let(V.walk(value, path), one)
 
 
+def try_maybe(value: Column, path: str, target: str, config: ShapeConfig | None = None) -> Column:
+    """STRUCT<value, status, diag>: status is `none` where the path is missing, out of bounds or null, or null before its end; `ok`; or why
+    there is no value though something is there."""
+    segments = parse_path(path)
+    gone = [F.coalesce(F.is_variant_null(V.walk(value, segments[:n])["value"]), F.lit(False)) for n in range(len(segments))]
+    null_before = reduce(lambda a, b: a | b, gone, F.lit(False))
+
+    def one(x: Column) -> Column:
+        missing = x["status"].isin(NOT_FOUND, OUT_OF_BOUNDS) | ((x["status"] == TYPE_MISMATCH) & null_before)
+        nothing = missing | ((x["status"] == "ok") & F.coalesce(F.is_variant_null(x["there"]), F.lit(False)))
+        return F.struct(F.when(~nothing, x["value"]).alias("value"), F.when(nothing, F.lit("none")).otherwise(x["status"]).alias("status"), F.when(~nothing, x["diag"]).alias("diag"))
+
+    found = lambda e: F.struct(e["value"].alias("value"), e["status"].alias("status"), e["diag"].alias("diag"), V.at(value, path).alias("there"))
+    return X.let(X.let(extract(value, path, target, config, optional=True), found), one)
+
+
 def maybe(value: Column, path: str, target: str, config: ShapeConfig | None = None) -> Column:
-    """The value at a path; NULL where it is missing or null, or something before it is. Coercion failures are NULL too; see `extract`."""
-    return extract(value, path, target, config, optional=True)["value"]
+    """The value at a path; NULL where it is missing or null, or null before its end. A value that can't be coerced fails the query; `try_maybe`
+    tells of it instead."""
+    found = try_maybe(value, path, target, config)
+    failed = F.raise_error(F.concat(F.lit(f"{path}: "), found["status"])).cast(SPARK[target])
+    return F.when(found["status"].isin("ok", "none"), found["value"]).otherwise(failed)
 
 
 def required(value: Column, path: str, target: str, config: ShapeConfig | None = None) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +30,30 @@ def to_json(value: Column) -> Column:
     return F.to_json(value)
 
 
+def _indented(text: str) -> str:
+    """Compact JSON on lines of their own, two blanks a level; scalars stay as they are written."""
+    out, depth, before = [], 0, ""
+    for token in re.findall(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', text):
+        if token in "}]":
+            depth -= 1
+            out.append(token if before in ("{", "[") else "\n" + "  " * depth + token)
+        else:
+            if before in ("{", "[", ","):
+                out.append("\n" + "  " * depth)
+            out.append(": " if token == ":" else token)
+            depth += token in ("{", "[")
+        before = token
+    return "".join(out)
+
+
 def pretty(value: Column) -> Column:
-    return F.to_json(value, {"pretty": "true"})
+    """JSON for reading. Spark indents only values of a known type, so this runs in Python."""
+
+    @F.pandas_udf("string")
+    def indent(texts: pd.Series) -> pd.Series:
+        return texts.map(_indented, na_action="ignore")
+
+    return indent(F.to_json(value))
 
 
 def from_row(row: Column) -> Column:

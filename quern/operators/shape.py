@@ -232,7 +232,7 @@ def to_json(spec: ShapeSpec, value: Column, pretty: bool = False) -> Column:
         return out
 
     whole = F.to_variant_object(F.map_concat(*entries(spec, value)))
-    return F.to_json(whole, {"pretty": "true"}) if pretty else F.to_json(whole)
+    return V.pretty(whole) if pretty else F.to_json(whole)
 
 
 def check(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import quern.plans.more_queries  # noqa: F401
 from quern.plans.queries import ORACLE, QUERIES
 
 
