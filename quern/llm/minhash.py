@@ -275,7 +275,8 @@ def across(buckets: DataFrame, nodes: DataFrame, known: DataFrame, p: Plan, perc
                 yield from table.take(pa.array(np.sort(group.order[used]))).to_batches()
 
     some = materialise(dealt.mapInArrow(paired, GROUP), "partners")
-    found = some.select("node").distinct().join(known.select(F.col("row").alias("of"), "text"), F.col("node") == F.col("of")).select("of", "text")
+    # The nodes asked for grow with the input, so they aren't broadcast, small tables or not.
+    found = some.select("node").distinct().join(known.select(F.col("row").alias("of"), "text").hint("merge"), F.col("node") == F.col("of")).select("of", "text")
     full = some.join(found, F.col("node") == F.col("of")).drop("of").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +327,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, known: DataFrame, percent: int
     spot = lambda c: F.pmod(F.xxhash64(F.lit("cell"), c), F.lit(grid)).cast("int")
     placed = pairs.select("x", "y", spot("x").alias("i"), spot("y").alias("j"))
     asked = placed.select("i", "j", F.explode(F.array("x", "y")).alias("node")).distinct()
-    found = asked.join(known.select(F.col("row").alias("node"), "text"), "node").select(F.col("i").alias("of_i"), F.col("j").alias("of_j"), "node", "text")
+    found = asked.join(known.select(F.col("row").alias("node"), "text").hint("merge"), "node").select(F.col("i").alias("of_i"), F.col("j").alias("of_j"), "node", "text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {node: shingles(t or "", words) for node, t in zip(right.column("node").to_pylist(), right.column("text").to_pylist(), strict=True)}
