@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern import cli
+from quern.errors import QuernError
 from quern.functions import coerce as C
 from quern.functions import currency, dates, detect, diagnostics, geo, identifiers, medical, providers, units
 from quern.functions import variants as V
@@ -112,6 +114,30 @@ def lookups(spark, sf):
     return out.select("p_partkey", known.column("parity", c("odd")).alias("parity"), "price", F.lit(NoLookups().lookup("parity", "0")).cast("string").alias("nothing"))
 
 
+@query("""
+SELECT (SELECT 'Schema inferred from ' || count(*) || ' records:' FROM nation) AS inferred, (SELECT count(*) FROM nation) AS total, (SELECT count(*) FILTER (length(n_name) > 6) FROM nation) AS violations,
+  (SELECT n_nationkey::VARCHAR FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 3) AS inspected, 'Path error: index_out_of_bounds' AS past_end""")
+def command_line(spark, sf):
+    """What the three commands print of a file that holds the nations in one array."""
+    path = folder(spark) + "/nations"
+    write_json(table(spark, sf, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("doc")), "doc", path)
+    limits = Path(tempfile.mkdtemp(prefix="quern-query-")) / "limits.json"
+    limits.write_text(json.dumps({"fields": {"n_name": {"type": "string", "max_length": 6}}}))
+    told = cli.audit(spark, path, str(limits), 1.0, True).splitlines()
+    try:
+        past_end = cli.inspect(spark, path, "[1000]", None)
+    except QuernError as e:
+        past_end = str(e)
+    row = (
+        cli.infer(spark, path, 1.0, "table").splitlines()[0],
+        S.infer(cli.read_source(spark, path), samples=False).total,
+        sum("ConstraintViolation" in x and x.startswith("  Row") for x in told),
+        cli.inspect(spark, path, "[3].n_nationkey", "int"),
+        past_end,
+    )
+    return spark.createDataFrame([row], "inferred string, total long, violations long, inspected string, past_end string")
+
+
 # Coercion
 
 
