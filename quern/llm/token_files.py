@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import col, materialise, slices
+from quern.llm.common import col, materialise, release, slices
 
-#: Ids of a block, at which it is closed; distinct words remembered by a worker.
-BLOCK_IDS, WORDS = 2_000_000, 900_000
+#: Ids of a block, at which it is closed: about half a megabyte. Rows are copied several times on their way to a file.
+BLOCK_IDS = 250_000
+#: Distinct words remembered by a worker.
+WORDS = 900_000
 #: First bytes of a block, then distinct ids, documents, ids, and bytes of the runs of each, control bytes first.
 HEAD = struct.Struct("<4sIIQ6I")
 MAGIC = b"QVB1"
@@ -267,21 +269,27 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
                 if not piece.num_rows:
                     continue
                 found, sizes = words.ids(piece.column(1))
-                ends = np.cumsum(sizes + 1) - 1
+                ends = np.cumsum(sizes + 1)
                 with_ends = np.empty(len(found) + len(sizes), np.uint32)
                 own = np.ones(len(with_ends), bool)
-                own[ends] = False
-                with_ends[own], with_ends[ends] = found, end_id
-                keys.append(piece.column(0))
-                lengths.append(sizes + 1)
-                ids.append(with_ends)
-                total += len(with_ends)
-                if total >= BLOCK_IDS:
-                    yield close()
-                    before, block, total = before + total, block + 1, 0
-                    keys, lengths, ids = [], [], []
+                own[ends - 1] = False
+                with_ends[own], with_ends[ends - 1] = found, end_id
+                at = first = 0
+                while at < len(sizes):  # the documents up to the one at which the block is full
+                    to = min(int(np.searchsorted(ends, first + BLOCK_IDS - total)) + 1, len(sizes))
+                    last = int(ends[to - 1])
+                    keys.append(piece.column(0).slice(at, to - at))
+                    lengths.append(sizes[at:to] + 1)
+                    ids.append(with_ends[first:last])
+                    total += last - first
+                    at, first = to, last
+                    if total >= BLOCK_IDS:
+                        yield close()
+                        before, block, total = before + total, block + 1, 0
+                        keys, lengths, ids = [], [], []
         if lengths:
             yield close()
+        release()
 
     ordered = df.select(col(key), col(text)).repartitionByRange(col(key)).sortWithinPartitions(col(key), col(text))
     written = materialise(ordered.mapInArrow(run, raw), "token-ids")
@@ -294,6 +302,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
                 more = np.bincount(unpack_ids(data.as_buffer(), n), minlength=len(total))
                 more[: len(total)] += total
                 total = more
+        release()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -310,6 +319,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
                 ids = unpack_ids(row.column("ids")[0].as_buffer(), row.column("n_ids")[0].as_py())
                 data = encode_block(np.frombuffer(row.column("lengths")[0].as_buffer(), "<u4"), ids, order)
                 yield pa.RecordBatch.from_arrays([*(row.column(n) for n in placed.names), pa.array([data], pa.binary())], names=schema.names)
+        release()
 
     written.mapInArrow(code, schema).write.parquet(f"{path}/blocks")
 
@@ -344,5 +354,6 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 at = pa.array(starts + base[row["part"].as_py()] + row["before"].as_py())
                 cut = pa.array([ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([keys, at, cut], names=schema.names)
+        release()
 
     return blocks.mapInArrow(run, schema)

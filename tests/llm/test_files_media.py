@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -90,6 +92,43 @@ def test_files(spark, tmp_path, monkeypatch):
     assert token_files.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_blocks_are_closed_within_a_batch(spark, tmp_path, monkeypatch):
+    """However many documents a worker gets at once, a block ends with the one that fills it; a longer one is a block's last."""
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 50)
+    rows = [(i, "apple " * (200 if i % 40 == 7 else 3)) for i in range(120)]
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/t", PATH, end_id=1)
+    blocks = spark.read.parquet(f"{tmp_path}/t/blocks").orderBy("part", "block").collect()
+    assert [k for b in blocks for k in b["keys"]] == list(range(120))
+    ends = set()
+    for b in blocks:
+        lengths, _ = token_files.decode_block(bytes(b.data), token_files.ranks(spark, f"{tmp_path}/t"))
+        assert lengths.sum() == b.n_ids and lengths[:-1].sum() < 50
+        assert b.before == sum(o.n_ids for o in blocks if o.part == b.part and o.block < b.block)
+        ends.add(b.n_ids >= 50 or b.block == max(o.block for o in blocks if o.part == b.part))
+    assert ends == {True} and len(blocks) >= 12
+
+
+def test_workers_give_back_what_they_freed():
+    """A value that lives on above freed ones keeps the C library from giving their memory back by itself."""
+    script = r"""
+import re
+from pathlib import Path
+import numpy as np
+from quern.llm.common import release
+def used():
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+release()
+before = used()
+held = [np.ones(60_000, np.uint8) for _ in range(2000)]
+del held[:-1]
+kept = used() - before
+release()
+print(kept, used() - before)
+"""
+    kept, left = map(float, subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True).stdout.split())
+    assert kept > 80 and left < 20
+
+
 def test_ranks_are_the_corpus_s(spark, tmp_path, monkeypatch):
     """Blocks of other words share one table of ranks: the frequency order over all documents."""
     monkeypatch.setattr(token_files, "BLOCK_IDS", 50)
