@@ -83,29 +83,27 @@ def fits(value: Column, target: str) -> Column:
 def _integer_text(t: Column, target: str, level: Level, after: Column) -> Column:
     """A trimmed text to an integer; `after` is what happens to texts that are no integer."""
 
-    def within(value: Column, source: str, risk: int, hint: str) -> Column:
-        return X.let(value, lambda v: F.when(fits(v, target), _changed(target, v, source, risk, hint)).otherwise(_refused(target, source, RISKY, "integer overflows the target type")))
-
-    def signed(value: Column) -> Column:
-        return F.when(value.between(*map(X.whole, X.I64)), value)
-
-    wide = "u64" if target in ("u64", "usize") else target
-    plain = F.coalesce(signed(X.integer(t)), F.when(t.rlike(r"^\+?[0-9]+$") & (X.integer(t) <= X.whole(X.U64_MAX)), X.integer(t)))
-    out = after
+    def within(value: Column, source: str, risk: int, hint: str, low: int = X.I64[0], high: int = X.I64[1]) -> Column:
+        """NULL where the value is NULL or out of bounds."""
+        fitting = lambda v: F.when(fits(v, target), _changed(target, v, source, risk, hint)).otherwise(_refused(target, source, RISKY, "integer overflows the target type"))
+        return X.let(value, lambda v: F.when(v.between(X.whole(low), X.whole(high)), fitting(v)))
+
+    # A rule is only tried on texts with its separator, and its value is worked out once.
+    tried = [F.when(X.whole_number(t), within(t.try_cast("decimal(38,0)"), "string", INFO, "use an integer type in the source data", high=X.U64_MAX))]
+    tried.append(F.when(t.startswith("0"), within(X.radix(t), "radix-prefixed string", WARNING, "use a decimal integer in the source data")))
     if level >= Level.BEST_EFFORT:
         separators = "remove thousands separators from numeric strings"
-        bare = X.underscores(t)
-        for value, source, hint in (
-            (X.radix(bare), "underscore-formatted radix string", "remove underscores and use decimal integers"),
-            (signed(X.integer(bare)), "underscore-formatted string", "remove underscores from numeric strings"),
-            (signed(X.integer(X.other_thousands(t))), "locale-formatted string", separators),
-            (signed(X.integer(X.european(t))), "European-formatted string", "use a dot for decimals and commas for thousands"),
-            (signed(X.integer(X.us_thousands(t))), "comma-formatted string", separators),
-        ):
-            # Only texts with a separator get here; the others are spared five patterns.
-            out = F.when(t.rlike(r"[,.' _]") & value.isNotNull(), within(value, source, WARNING, hint)).otherwise(out)
-    out = F.when(X.radix(t).isNotNull(), within(X.radix(t), "radix-prefixed string", WARNING, "use a decimal integer in the source data")).otherwise(out)
-    return F.when(t.rlike(X.INTEGER) & plain.isNotNull(), within(plain, "string", INFO, "use an integer type in the source data")).otherwise(out) if wide else out
+        scored = lambda bare: F.coalesce(
+            within(X.integer(bare), "underscore-formatted string", WARNING, "remove underscores from numeric strings"),
+            within(X.radix(bare), "underscore-formatted radix string", WARNING, "remove underscores and use decimal integers"),
+        )
+        tried += [
+            F.when(X.has(t, ","), within(X.let(X.us_thousands(t), X.integer), "comma-formatted string", WARNING, separators)),
+            F.when(X.has(t, "."), within(X.let(X.european(t), X.integer), "European-formatted string", WARNING, "use a dot for decimals and commas for thousands")),
+            F.when(X.has(t, "'") | X.has(t, " "), within(X.let(X.other_thousands(t), X.integer), "locale-formatted string", WARNING, separators)),
+            F.when(X.has(t, "_"), X.let(X.underscores(t), scored)),
+        ]
+    return F.coalesce(*tried, after)
 
 
 def _float_text(t: Column, target: str, config: ShapeConfig, optional: bool, chain: bool, after: Column) -> Column:
@@ -113,6 +111,8 @@ def _float_text(t: Column, target: str, config: ShapeConfig, optional: bool, cha
     best = config.level >= Level.BEST_EFFORT
 
     def number(value: Column, source: str, note: str) -> Column:
+        """NULL where the value is NULL."""
+
         def one(v: Column) -> Column:
             out = _changed(target, v, source, WARNING, note)
             if target == "f32":
@@ -120,23 +120,24 @@ def _float_text(t: Column, target: str, config: ShapeConfig, optional: bool, cha
                 out = F.when(F.abs(v) >= F32_MAX, _refused(target, source, RISKY, "value overflows f32 range")).otherwise(out)
             return F.when(F.abs(v) == float("inf"), _refused(target, source, RISKY, "Infinity can't be represented in JSON")).otherwise(out)
 
-        return X.let(value, one)
+        return X.let(value, lambda v: F.when(v.isNotNull(), one(v)))
 
-    out = after
+    # A rule is only tried on texts with its separator, and its value is worked out once.
+    tried = [F.when(t.rlike(X.FLOAT), number(t.try_cast("double"), "string", hint))]
     if best:
-        bare = X.underscores(t)
-        for value, source in (
-            (X.any_float(bare), "underscore-formatted string"),
-            (X.any_float(X.other_thousands(t)), "locale-formatted string"),
-            (X.any_float(X.european(t)), "European-formatted string"),
-            (X.any_float(X.us_thousands(t)), "comma-formatted string"),
+        fine = lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+        for there, value, source in (
+            (X.has(t, ","), X.us_thousands(t), "comma-formatted string"),
+            (X.has(t, "."), X.european(t), "European-formatted string"),
+            (X.has(t, "'") | X.has(t, " "), X.other_thousands(t), "locale-formatted string"),
+            (X.has(t, "_"), X.underscores(t), "underscore-formatted string"),
         ):
-            fine = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-            out = F.when(t.rlike(r"[,.' _]") & fine, number(value, source, "remove separators from numeric strings")).otherwise(out)
-    out = F.when(t.rlike(X.FLOAT), number(X.plain_float(t), "string", hint)).otherwise(out)
+            found = X.let(X.let(value, X.any_float), fine)
+            tried.append(F.when(there, number(found, source, "remove separators from numeric strings")))
+    out = F.coalesce(*tried, after)
     infinite = _refused(target, "string", RISKY, "Infinity can't be represented in JSON")
     nan = _to_null(target, "NaN string", config, optional, chain) if best else _unchanged(target)
-    return F.when(t.rlike(X.SPECIAL), F.when(F.lower(t).rlike("nan$"), nan).otherwise(infinite)).otherwise(out)
+    return F.when(~F.right(t, F.lit(1)).between("0", "9") & t.rlike(X.SPECIAL), F.when(F.lower(t).rlike("nan$"), nan).otherwise(infinite)).otherwise(out)
 
 
 def _string(t: Column, raw: Column, target: str, config: ShapeConfig, optional: bool, chain: bool) -> Column:
@@ -197,6 +198,24 @@ def coerce(value: Column, target: str, config: ShapeConfig | None = None, option
     return X.let(facts, lambda x: _by_kind(x["v"], x["k"], x["s"], target, config, optional, chain))
 
 
+def _missing(target: str, config: ShapeConfig, optional: bool) -> Column:
+    """A JSON null."""
+    if optional:
+        return result(target, None, True, False)
+    if config.level >= Level.BEST_EFFORT:
+        return result(target, default(target), True, True, diagnostic("defaulted", "null → default", None, WARNING, "consider an optional field"))
+    return _unchanged(target)
+
+
+def coerce_text(text: Column, target: str, config: ShapeConfig | None = None, optional: bool = False, chain: bool = True) -> Column:
+    """`coerce` of a text (STRING) as a JSON string value, without the way through VARIANT. A NULL counts as a JSON null."""
+    config = config or ShapeConfig()
+    if target in ("raw", "string") or config.level < Level.STRING_COERCION:
+        return coerce(F.try_variant_get(F.to_variant_object(F.array(text)), "$[0]", "variant"), target, config, optional, chain)
+    there = lambda raw: X.let(X.trim(raw), lambda t: _string(t, raw, target, config, optional, chain))
+    return X.let(text, lambda raw: F.when(raw.isNull(), _missing(target, config, optional)).otherwise(there(raw)))
+
+
 def _by_kind(v: Column, k: Column, s: Column, target: str, config: ShapeConfig, optional: bool, chain: bool) -> Column:
     level = config.level
     safe, text, best = (level >= x for x in (Level.SAFE_WIDENING, Level.STRING_COERCION, Level.BEST_EFFORT))
@@ -241,12 +260,7 @@ def _by_kind(v: Column, k: Column, s: Column, target: str, config: ShapeConfig,
         out = F.when(k == "string", result(target, s, True, False)).otherwise(out)
     if text and target != "string":
         out = F.when(k == "string", X.let(X.trim(s), lambda t: _string(t, s, target, config, optional, chain))).otherwise(out)
-    missing = _unchanged(target)
-    if optional:
-        missing = result(target, None, True, False)
-    elif best:
-        missing = result(target, default(target), True, True, diagnostic("defaulted", "null → default", None, WARNING, "consider an optional field"))
-    return F.when(k == "null", missing).when(k.isNull(), _unchanged(target)).otherwise(out)
+    return F.when(k == "null", _missing(target, config, optional)).when(k.isNull(), _unchanged(target)).otherwise(out)
 
 
 def _exact(v: Column, k: Column, target: str, source: str, risk: int) -> Column:

@@ -26,8 +26,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(c: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    """Without Unicode white space at both ends. A text between two printed ASCII letters is spared the pattern."""
+
+    def one(x: Column) -> Column:
+        bare = F.left(x, F.lit(1)).between("!", "~") & F.right(x, F.lit(1)).between("!", "~")
+        return F.when(bare, x).otherwise(F.regexp_replace(x, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""))
+
+    return let(c, one)
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -60,9 +65,14 @@ def integer(c: Column) -> Column:
     return F.when(c.rlike(INTEGER), c.try_cast("decimal(38,0)"))
 
 
+def whole_number(c: Column) -> Column:
+    """Whether a text is an integer's; most others are told by their first and last character."""
+    return F.right(c, F.lit(1)).between("0", "9") & c.rlike(INTEGER)
+
+
 def if_float(c: Column) -> Column:
     """The text itself where it is a float text."""
-    return F.when(c.rlike(FLOAT) | c.rlike(SPECIAL), c)
+    return let(c, lambda x: F.when(x.rlike(FLOAT) | x.rlike(SPECIAL), x))
 
 
 def us_thousands(c: Column) -> Column:

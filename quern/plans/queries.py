@@ -51,7 +51,7 @@ def as_value(text: Column) -> Column:
 
 
 def bent(text: Column, target: str, config: ShapeConfig | None = None) -> Column:
-    return C.coerce(as_value(text), target, config)
+    return C.coerce_text(text, target, config)
 
 
 def obj(*columns: Column) -> Column:
@@ -110,9 +110,9 @@ def coerce_european(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, l_orderkey * 1000 AS swiss, l_orderkey * 1000 AS spaced, l_orderkey * 1000 AS scored FROM lineitem")
 def coerce_separators(spark, sf):
-    text = F.format_number(c("l_orderkey") * 1000, 0)
-    return table(spark, sf, "lineitem").select(
-        *LINE, *(bent(F.translate(text, ",", sep), "i64")["value"].alias(name) for name, sep in (("swiss", "'"), ("spaced", " "), ("scored", "_")))
+    df = table(spark, sf, "lineitem").select(*LINE, F.format_number(c("l_orderkey") * 1000, 0).alias("text"))
+    return df.select(
+        *LINE, *(bent(F.translate("text", ",", sep), "i64")["value"].alias(name) for name, sep in (("swiss", "'"), ("spaced", " "), ("scored", "_")))
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import coerce as C
 from quern.functions import variants as V
 from quern.plans.config import ABSORBING, LENIENT, STRICT, Level, Mode, Packs, ShapeConfig, SourceHint
+from quern.plans.queries import as_value
 
 #: JSON text, target, value (None: no value), ok, risk (None: no diagnostic).
 CASES = [
@@ -134,3 +135,17 @@ def test_lookups(spark):
     assert known.rates_frame(spark).count() == known.factors_frame(spark).count() == 1
     df = spark.createDataFrame([("k",), ("z",)], "k string")
     assert [r[0] for r in df.select(known.column("t", F.col("k"))).collect()] == ["v", None]
+
+
+@pytest.mark.parametrize("target", ["i64", "f64"])
+def test_a_text_is_coerced_as_its_json_value_is(spark, target):
+    texts = ["1,234", "1.234,56", "1.234.567", "1'234.5", "1 234", "1_000", "0x1_f", "0x1f", " 7 ", "n/a", "[1]", "9" * 40, "-inf", "x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", C.coerce_text(F.col("t"), target).alias("a"), C.coerce(as_value(F.col("t")), target).alias("b")).collect():
+        assert row["a"] == row["b"], row["t"]
+
+
+def test_a_separator_rule_is_planned_once(spark):
+    """Each rule's patterns stand once in a plan, behind its separator: not once to ask and once more to tell."""
+    plan = spark.range(1).select(C.coerce_text(F.col("id").cast("string"), "i64")["value"].alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("('[0-9]{3})+") == 1
