@@ -5,11 +5,14 @@ Input rows: stream_id, seq, provider, chunk. A stream's chunks are taken in orde
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.session import ship
@@ -18,6 +21,8 @@ from quern.streaming.sse import EVENT, Decoder
 EVENTS = f"stream_id string, n int, {EVENT}"
 MESSAGES = "stream_id string, text string, tool_calls array<struct<id:string,name:string,input:string>>, stop_reason string, done boolean"
 COLUMNS = ["stream_id", "seq", "provider", "chunk"]
+#: Rows that a batch holds on its way back from Python.
+ROWS = 2000
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
@@ -28,34 +33,48 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return out
 
 
-def _decoded(pdf: pd.DataFrame, parity: bool) -> tuple[Decoder, list[dict]]:
-    pdf = pdf.sort_values("seq", kind="stable")
-    decoder = Decoder(provider=pdf["provider"].iloc[0], parity=parity)
-    events = decoder.feed("".join(x for x in pdf["chunk"] if x))
-    return decoder, events + decoder.finish()
+def _whole(batches: Iterator[pa.RecordBatch], parity: bool) -> Iterator[tuple[str | None, Decoder, list[dict]]]:
+    """Each stream of sorted chunks with its decoder and events. A stream may go over several batches; one is held at a time."""
+    decoder, now = None, None
+    for batch in batches:
+        for key, provider, chunk in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "provider", "chunk")), strict=True):
+            if decoder is None or key != now:
+                if decoder is not None:
+                    yield now, decoder, decoder.feed("".join(parts)) + decoder.finish()
+                decoder, now, parts = Decoder(provider=provider, parity=parity), key, []
+            if chunk:
+                parts.append(chunk)
+    if decoder is not None:
+        yield now, decoder, decoder.feed("".join(parts)) + decoder.finish()
 
 
-def sse_events(df: DataFrame, parity: bool = False) -> DataFrame:
-    """The events of whole streams, numbered from 0 in each. One stream, which is one connection, is one task's."""
+def _by_stream(df: DataFrame, rows: Callable[[str | None, Decoder, list[dict]], list[dict]], schema: str, parity: bool) -> DataFrame:
+    """`rows` of each whole stream. Streams are sorted and go to Python in batches: a data frame for each would cost far more than its decoding."""
     ship(df.sparkSession)
-    names = [x.split()[0] for x in EVENTS.split(", ")]
+    kind = to_arrow_schema(T._parse_datatype_string(schema))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, events = _decoded(pdf, parity)
-        return _frame([{"stream_id": pdf["stream_id"].iloc[0], "n": i} | e for i, e in enumerate(events)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for key, decoder, events in _whole(batches, parity):
+            held += rows(key, decoder, events)
+            if len(held) >= ROWS:
+                yield pa.RecordBatch.from_pylist(held, kind)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, kind)
 
-    return df.select(F.col("stream_id").cast("string"), *COLUMNS[1:]).groupBy("stream_id").applyInPandas(run, EVENTS)
+    chunks = df.select(F.col("stream_id").cast("string"), *COLUMNS[1:]).repartition("stream_id")
+    return chunks.sortWithinPartitions("stream_id", F.col("seq").asc_nulls_last()).mapInArrow(run, schema)
 
 
-def messages(df: DataFrame, parity: bool = False) -> DataFrame:
-    """The message that each whole stream adds up to."""
-    ship(df.sparkSession)
+def sse_events(df: DataFrame, parity: bool = False) -> DataFrame:
+    """The events of whole streams, numbered from 0 in each. One stream, which is one connection, is one task's."""
+    return _by_stream(df, lambda key, _, events: [{"stream_id": key, "n": i} | e for i, e in enumerate(events)], EVENTS, parity)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        decoder, _ = _decoded(pdf, parity)
-        return pd.DataFrame([{"stream_id": pdf["stream_id"].iloc[0]} | decoder.message])
 
-    return df.select(F.col("stream_id").cast("string"), *COLUMNS[1:]).groupBy("stream_id").applyInPandas(run, MESSAGES)
+def messages(df: DataFrame, parity: bool = False) -> DataFrame:
+    """The message that each whole stream adds up to."""
+    return _by_stream(df, lambda key, decoder, _: [{"stream_id": key} | decoder.message], MESSAGES, parity)
 
 
 def stream_events(df: DataFrame, parity: bool = False, timeout_ms: int | None = None) -> DataFrame:

@@ -186,3 +186,20 @@ def test_cli(spark, tmp_path, capsys):
     assert "MissingRequired" in cli.audit(spark, str(path), str(schema), 1.0, True)
     assert cli.inspect(spark, str(path), "[1].a", "int") == "2"
     assert cli.inspect(spark, str(path), "[0].b", None) == '"x"'
+
+
+def test_streams_go_to_python_in_batches(spark):
+    """A stream over several batches is one message; null keys, chunks and orders have their places; no data frame is made for a stream."""
+    line = 'data: {"choices":[{"delta":{"content":"%s"}}]}\n\n'
+    rows = [(k, s, "openai", line % f"{k}{s}") for k in ("a", "b", None) for s in (2, 0, 1)] + [("a", None, "openai", line % "z"), ("b", 3, "openai", None), ("e", 0, "openai", "")]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, provider string, chunk string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = streams.messages(df)
+        assert {(r["stream_id"], r["text"], r["done"]) for r in found.collect()} == {("a", "a0a1a2z", False), ("b", "b0b1b2", False), (None, "None0None1None2", False), ("e", "", False)}
+        numbered = {(r["stream_id"], r["n"], r["text"]) for r in streams.sse_events(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert ("a", 3, "z") in numbered and len(numbered) == 10
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
