@@ -212,7 +212,7 @@ def coerce_text(text: Column, target: str, config: ShapeConfig | None = None, op
     config = config or ShapeConfig()
     if target in ("raw", "string") or config.level < Level.STRING_COERCION:
         return coerce(F.try_variant_get(F.to_variant_object(F.array(text)), "$[0]", "variant"), target, config, optional, chain)
-    there = lambda raw: X.let(X.trim(raw), lambda t: _string(t, raw, target, config, optional, chain))
+    there = lambda raw: X.let(X.trim_bound(raw), lambda t: _string(t, raw, target, config, optional, chain))
     return X.let(text, lambda raw: F.when(raw.isNull(), _missing(target, config, optional)).otherwise(there(raw)))
 
 

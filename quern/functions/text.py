@@ -26,11 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(c: Column) -> Column:
-    """Without Unicode white space at both ends. A text between two printed ASCII letters is spared the pattern."""
+    """Without Unicode white space at both ends."""
+    return F.regexp_replace(c, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+
+
+def trim_bound(c: Column) -> Column:
+    """`trim` of a text that is mostly trimmed already: one between two printed ASCII characters is spared the pattern."""
 
     def one(x: Column) -> Column:
         bare = F.left(x, F.lit(1)).between("!", "~") & F.right(x, F.lit(1)).between("!", "~")
-        return F.when(bare, x).otherwise(F.regexp_replace(x, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""))
+        return F.when(bare, x).otherwise(trim(x))
 
     return let(c, one)
 
